@@ -1,0 +1,11 @@
+"""Queries for the driver."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
