@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, topk
+from . import bpe, packing, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -30,6 +34,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_substring": op4_substring,
         "op8_topk": op8_topk,
         "op9_bpe": op9_bpe,
         "op10_packing": op10_packing,
@@ -52,5 +57,23 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+#: Words [^\x20\x09-\x0D]+ of a text.
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+bad AS (SELECT DISTINCT win.doc_id, i + k AS p FROM win JOIN least USING (h), range(50) AS r(k) WHERE m < win.doc_id),
+lost AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM bad GROUP BY doc_id),
+kept AS (SELECT d.doc_id, array_to_string(list(u.x ORDER BY u.p), ' ') AS t
+         FROM d, LATERAL (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p) AS u
+         LEFT JOIN bad ON bad.doc_id = d.doc_id AND bad.p = u.p WHERE bad.p IS NULL GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": OP8_SQL}
+    return {"op4_substring": OP4_SQL, "op8_topk": OP8_SQL}
