@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, substring, topk
+from . import bpe, minhash, packing, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"), digest=True)
 
@@ -34,6 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash": op1_minhash,
         "op4_substring": op4_substring,
         "op8_topk": op8_topk,
         "op9_bpe": op9_bpe,
@@ -75,5 +80,19 @@ FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+OP1_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS sh FROM d),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+common AS (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT p, q FROM common JOIN s a ON a.doc_id = p JOIN s b ON b.doc_id = q WHERE 100 * n >= 85 * (len(a.sh) + len(b.sh) - n)),
+both_ways AS (SELECT p, q FROM link UNION ALL SELECT q, p FROM link),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, b.q FROM reach r JOIN both_ways b ON b.p = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": OP4_SQL, "op8_topk": OP8_SQL}
+    return {"op1_minhash": OP1_SQL, "op4_substring": OP4_SQL, "op8_topk": OP8_SQL}
