@@ -112,21 +112,22 @@ def _keys(depth: int):
 
 
 def regions(reps: DataFrame, most: int = REGION) -> DataFrame:
-    """(bucket, cls, leader): the regions of the forest with two classes or more."""
+    """(bucket, cls, order, depth): the regions of the forest with two classes or more; depth 0: a block of one."""
     rows = reps.select("cls", F.posexplode(_keys(DEPTHS[0])).alias("order", "key"))
     done = []
     for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], 0], strict=True):
         counts = rows.groupBy("order", "key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader")).where("n > 1")
         rows = written(rows.join(counts, ["order", "key"]), "regions")
         bucket = F.xxhash64("order", F.lit(depth), "key")
-        done.append(rows.where(F.col("n") <= most).select(bucket.alias("bucket"), "cls", "leader"))
+        done.append(rows.where(F.col("n") <= most).select(bucket.alias("bucket"), "cls", "order", F.lit(depth).alias("depth")))
         large = rows.where(F.col("n") > most)
         if large.isEmpty():
             break
         if not deeper:
             block = F.pmod(F.hash("cls"), F.ceil(F.col("n") / most).cast("int"))
-            cut = large.select(F.xxhash64("order", F.lit(0), "key", block).alias("bucket"), "cls", "leader")
-            done.append(cut.unionByName(cut.select("bucket", F.col("leader").alias("cls"), "leader").distinct()).distinct())
+            cut = large.select(F.xxhash64("order", F.lit(0), "key", block).alias("bucket"), "cls", "order", F.lit(0).alias("depth"), "leader")
+            first = cut.select("bucket", F.col("leader").alias("cls"), "order", "depth").distinct()
+            done.append(cut.drop("leader").unionByName(first).distinct())
         else:
             rows = large.select("order", "cls").join(reps, "cls").select("cls", "order", F.element_at(_keys(deeper), F.col("order") + 1).alias("key"))
     out = done[0]
@@ -156,17 +157,15 @@ def spanning(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]]:
-    """(cls, signatures, labels, bounds) of several whole buckets at a time; input sorted by bucket."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, classes, signatures, bounds) of several whole buckets at a time; input sorted by bucket."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def whole(t: pa.Table) -> tuple:
         bucket = t.column("bucket").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, PLACES)
-        label = t.column("label").to_numpy() if "label" in t.column_names else None
         bounds = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-        return t.column("cls").to_numpy(), sig, label, bounds
+        return t, t.column("cls").to_numpy(), _matrix(t, "sig"), bounds
 
     for b in batches:
         held.append(b)
@@ -183,8 +182,13 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         yield whole(pa.Table.from_batches(held))
 
 
+def _matrix(t: pa.Table, column: str) -> np.ndarray:
+    """Equally long binaries as rows of bytes."""
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), np.uint8).reshape(len(t), -1)
+
+
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for cls, sig, _, bounds in _buckets(batches):
+    for _, cls, sig, bounds in _buckets(batches):
         a, b = [], []
         # buckets of two, which most are, in one go
         two = bounds[:-1][np.diff(bounds) == 2]
@@ -201,17 +205,25 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs over the threshold whose labels differ."""
-    for cls, sig, label, bounds in _buckets(batches):
+    """All pairs over the threshold whose labels differ, each from the first order in which the two share a bucket."""
+    for t, cls, sig, bounds in _buckets(batches):
+        label, order, depths = t.column("label").to_numpy(), t.column("order").to_numpy(), _matrix(t, "depths")
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            lab = label[lo:hi]
-            if (lab == lab[0]).all():
+            if (label[lo:hi] == label[lo]).all():
                 continue
             for i in range(lo, hi - 1):
                 other = np.flatnonzero(label[i + 1 : hi] != label[i]) + i + 1
                 if len(other):
                     other = other[np.count_nonzero(sig[other] == sig[i], axis=1) >= AGREE]
+                for earlier in range(order[i]):
+                    if depth := int(depths[i, earlier]):
+                        if not len(other):
+                            break
+                        places = _ORDER[earlier][:depth]
+                        met = (depths[other, earlier] == depth) & (sig[other][:, places] == sig[i, places]).all(axis=1)
+                        other = other[~met]
+                if len(other):
                     a.append(np.full(len(other), cls[i]))
                     b.append(cls[other])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -270,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(_sets(own), "sets")
     classes = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     reps = written(classes, "classes")
-    buckets = written(regions(reps.select("cls", "sig"), region).select("bucket", "cls"), "buckets")
+    buckets = written(regions(reps.select("cls", "sig"), region), "buckets")
     signed = buckets.join(reps.select("cls", "sig"), "cls")
     ordered = signed.repartition("bucket").sortWithinPartitions("bucket", "cls").select("bucket", "cls", "sig")
     pairs = written(ordered.mapInArrow(_nearest, "a long, b long").distinct(), "pairs")
@@ -281,7 +293,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = connected(links)
     # pairs that the spanning forests left out, between classes still apart
     near = nodes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
-    labelled = signed.join(near, "cls").repartition("bucket").sortWithinPartitions("bucket", "cls").select("bucket", "cls", "sig", "label")
+    # the depth, in each order, of the bucket that a class is in (0: none, or a block)
+    depths = buckets.groupBy("cls").agg(F.concat(*[F.unhex(F.lpad(F.hex(F.coalesce(F.max(F.when(F.col("order") == t, F.col("depth"))), F.lit(0))), 2, "0")) for t in range(ORDERS)]).alias("depths"))
+    known = near.join(depths, "cls")
+    labelled = signed.join(known, "cls").repartition("bucket").sortWithinPartitions("bucket", "cls").select("bucket", "cls", "order", "sig", "label", "depths")
     more = written(labelled.mapInArrow(_apart, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "apart")
     if not more.isEmpty():
         found = _links(more, texts)
