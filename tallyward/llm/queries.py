@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, minhash, packing, secrets, substring, topk
+from . import bpe, imatch, langid, minhash, packing, secrets, substring, token_shards, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_shards.output_path(spark)
+    return token_shards.write_shards(_table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,15 @@ def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.chain_for(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -47,9 +61,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_token_shards": op2_token_shards,
         "op3_secrets": op3_secrets,
         "op4_substring": op4_substring,
         "op5_imatch": op5_imatch,
+        "op6_langid": op6_langid,
+        "op7_toxicity": op7_toxicity,
         "op8_topk": op8_topk,
         "op9_bpe": op9_bpe,
         "op10_packing": op10_packing,

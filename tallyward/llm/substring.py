@@ -249,3 +249,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     out = own.join(lost, "rid", "left").select("doc_id", "text", "lost").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
+
+
+def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without the words they lose, all columns as they are; other texts stay untouched."""
+    prepare(docs.sparkSession)
+    rid = F.xxhash64(id_col, text_col)
+    own = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    lost = written(intervals(own, **options), "lost").select(F.col("rid").alias("_rid"), F.col("lost").alias("_lost"))
+    joined = docs.withColumn("_rid", rid).join(lost, "_rid", "left").select(*docs.columns, "_lost")
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            body = []
+            for text, gone in zip(b.column(at), b.column("_lost"), strict=True):
+                gone = gone.as_py()
+                body.append(b" ".join(_kept(text.as_py().encode().split(), gone)).decode() if gone else text.as_py())
+            columns = b.columns[:-1]
+            columns[at] = pa.array(body, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(run, docs.schema)
