@@ -526,9 +526,9 @@ def first_names(spark, sf):
     return read(spark, sf, "part").groupBy(F.col("p_brand").alias("server_id")).agg(F.concat(F.array_join(F.slice(names, 1, 3), ", "), more).alias("shown"))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def required_anti(spark, sf):
-    o = read(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("id"))
+    o = read(spark, sf, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("id"))
     return read(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(o, "id", "left_anti")
 
 
