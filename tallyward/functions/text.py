@@ -8,15 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as the catalogs' own tools see it: wider than ASCII.
-SPACE = "\t\n\x0b\x0c\r    -     　﻿"
+SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Any character that ends no line.
-ANY = "[^\n\r  ]"
+ANY = "[^\n\r\u2028\u2029]"
 _TRIM = re.compile(f"^[{SPACE}]+|[{SPACE}]+\\Z")
 
 
 def u16(text: str) -> int:
     """Length in UTF-16 units."""
-    return len(text) + sum(c > "￿" for c in text)
+    return len(text) + sum(c > "\uffff" for c in text)
 
 
 def u16_cut(text: str, most: int) -> str:
@@ -25,7 +25,7 @@ def u16_cut(text: str, most: int) -> str:
         return text
     out, used = [], 0
     for c in text:
-        used += 2 if c > "￿" else 1
+        used += 2 if c > "\uffff" else 1
         if used > most:
             break
         out.append(c)

@@ -406,7 +406,7 @@ def suspicious_text(spark, sf):
     return f.select(F.col("item_ord").alias("doc_id"), F.col("detail").alias("found"))
 
 
-_UNSEEN = "CASE doc_id % 5 WHEN 0 THEN 'a' || '​' || text || '​' WHEN 1 THEN text || '‮' WHEN 2 THEN text || 'ㅤ' WHEN 3 THEN text || '\x1b' || '[31m' || '\x07' ELSE text END"
+_UNSEEN = "CASE doc_id % 5 WHEN 0 THEN 'a' || '\u200b' || text || '\u200b' WHEN 1 THEN text || '\u202e' WHEN 2 THEN text || '\u3164' WHEN 3 THEN text || '\x1b' || '[31m' || '\x07' ELSE text END"
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'zero-width' WHEN 1 THEN 'bidi-control' ELSE 'invisible' END AS kind, CASE doc_id % 5 WHEN 0 THEN 2 ELSE 1 END AS n FROM documents WHERE doc_id % 5 < 3")

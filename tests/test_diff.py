@@ -90,7 +90,7 @@ def test_canonical_round_trip(x):
 def test_utf16(text, n):
     raw = text.encode("utf-16-be", "surrogatepass")
     assert u16(text) == len(raw) // 2 and u16(u16_cut(text, n)) <= n and text.startswith(u16_cut(text, n))
-    assert trimmed(f"\t 　{trimmed(text)}﻿\n") == trimmed(text)
+    assert trimmed(f"\t \u3000{trimmed(text)}\ufeff\n") == trimmed(text)
 
 
 def test_decode():
