@@ -86,6 +86,11 @@ def _found(c: Context, rule_id: str) -> DataFrame:
 
 # ------------------------------------------------------------ naming
 
+def _cased(sep: str) -> str:
+    part = "[0-9a-z]+"
+    return f"{part}({sep}{part})+"
+
+
 # part names have blanks; keys vary the separator
 _VARIED = "CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN replace(p_name, ' ', '-') WHEN 2 THEN replace(p_name, ' ', '.') ELSE p_name END"
 _LONG = "CASE p_partkey % 5 WHEN 0 THEN repeat(replace(p_name, ' ', '_'), 3) || '_' || repeat('x', CAST(p_partkey % 90 AS INT)) WHEN 1 THEN replace(p_name, ' ', '.') ELSE p_name END"
@@ -115,8 +120,8 @@ def shadowing(spark, sf):
 
 @query(f"""
 WITH t AS (SELECT p_partkey, p_brand, {_VARIED} AS name FROM part),
-c AS (SELECT p_brand, CASE WHEN regexp_full_match(name, '[a-z0-9]+(_[a-z0-9]+)+') THEN 'snake_case' WHEN regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)+') THEN 'kebab-case'
- WHEN regexp_full_match(name, '[a-z0-9]+(\\.[a-z0-9]+)+') THEN 'dot.case' WHEN regexp_full_match(name, '[a-z][a-zA-Z0-9]*') AND regexp_matches(name, '[A-Z]') THEN 'camelCase' ELSE 'other' END AS v FROM t)
+c AS (SELECT p_brand, CASE WHEN regexp_full_match(name, '{_cased("_")}') THEN 'snake_case' WHEN regexp_full_match(name, '{_cased("-")}') THEN 'kebab-case'
+ WHEN regexp_full_match(name, '{_cased("[.]")}') THEN 'dot.case' WHEN regexp_full_match(name, '[a-z][a-zA-Z0-9]*') AND regexp_matches(name, '[A-Z]') THEN 'camelCase' ELSE 'other' END AS v FROM t)
 SELECT p_brand AS server_id, CAST(count(DISTINCT v) FILTER (v <> 'other') AS BIGINT) AS conventions, count(*) AS tools FROM c GROUP BY p_brand
 HAVING count(*) >= 3 AND count(DISTINCT v) FILTER (v <> 'other') > 1
 """)
@@ -165,7 +170,7 @@ _HINTS = """CASE p_partkey % 4 WHEN 0 THEN '{"destructiveHint": true}' WHEN 1 TH
 
 @query(f"""
 WITH t AS (SELECT p_partkey AS id, {_VERBS} AS name, {_HINTS} AS a FROM part)
-SELECT id, name FROM t WHERE regexp_matches(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '(^|[^a-z0-9])(delete|destroy|drop|erase|kill|purge|remove|revoke|terminate|truncate|uninstall|wipe)[ds]?([^a-z0-9]|$)')
+SELECT id, name FROM t WHERE regexp_matches(lower(regexp_replace(name, '([0-9a-z])([A-Z])', '\\1 \\2', 'g')), '(^|[^a-z0-9])(delete|destroy|drop|erase|kill|purge|remove|revoke|terminate|truncate|uninstall|wipe)[ds]?([^a-z0-9]|$)')
 AND NOT coalesce(json_type(a, '$.destructiveHint') = 'BOOLEAN', false) AND NOT coalesce(json_type(a, '$.readOnlyHint') = 'BOOLEAN', false)
 """)
 def missing_annotations(spark, sf):

@@ -21,7 +21,7 @@ from ..functions.text import html_safe, markdown_safe
 from ..operators.engine import Audit, top_offenders
 from ..operators.rules import RULES
 
-_RANK = {"error": 0, "warning": 1, "info": 2}
+_RANK = {s: i for i, s in enumerate("error warning info".split())}
 _ICON = {"error": "✖", "warning": "▲", "info": "•"}
 
 
@@ -76,7 +76,8 @@ def as_markdown(a: Audit) -> str:
     for s in _rows(a.summary.orderBy("target_id")):
         score = "not scored" if s["score"] is None else f"{s['score']} of 100"
         out += [f"**{markdown_safe(visible(s['target_id']))}**: {score}; {s['errors']} errors, {s['warnings']} warnings, {s['infos']} notes ({status_text(s)}).", ""]
-    out += ["| Severity | Rule | Subject | Finding |", "|---|---|---|---|"]
+    heads = "Severity Rule Subject Finding".split()
+    out += ["| " + " | ".join(heads) + " |", "|" + "---|" * len(heads)]
     for f in sorted(_findings(a), key=lambda f: _RANK[f["severity"]]):
         cells = [f["severity"], f["rule_id"], f"{f['subject_kind']} {f['subject_name']}", f["message"]]
         out.append("| " + " | ".join(markdown_safe(visible(c).replace("\n", " ").replace("\r", " ")) for c in cells) + " |")

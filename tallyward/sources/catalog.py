@@ -46,6 +46,11 @@ class Tables:
         return parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
 
 
+def gap(status: str, detail: str | None = None, pages: int = 0) -> dict:
+    """The counts of a coverage row without entries."""
+    return {"status": status, "detail": detail, "pages": pages} | dict.fromkeys(("received", "retained"), 0)
+
+
 def _hint_issues(annotations: Any) -> list[str]:
     if annotations is None:
         return []
@@ -116,7 +121,7 @@ def list_result_issue(page: dict) -> str | None:
 def entries(data: bytes | str, target_id: str, server_id: str) -> Iterator[dict]:
     """All rows of one saved catalog."""
     base = {"target_id": target_id, "server_id": server_id}
-    file = base | {"what": "coverage", "scope": "file", "status": "incomplete", "pages": 0, "received": 0, "retained": 0}
+    file = base | {"what": "coverage", "scope": "file"} | gap("incomplete")
     try:
         catalog = read(data if isinstance(data, str) else decode(bytes(data)))
     except JsonRefused as e:
@@ -134,7 +139,7 @@ def entries(data: bytes | str, target_id: str, server_id: str) -> Iterator[dict]
         if key in catalog and isinstance(catalog[key], list):
             yield from entries_of(key, catalog[key], base)
         elif key in catalog:
-            yield base | {"what": "coverage", "scope": scope, "status": "incomplete", "pages": 1, "received": 0, "retained": 0, "detail": f"{key} is no list."}
+            yield base | {"what": "coverage", "scope": scope} | gap("incomplete", f"{key} is no list.", 1)
     issues = [x for x in [list_result_issue(catalog)] if x]
     issues += ["A cursor is left: there are further pages."] if "nextCursor" in catalog else []
     issues += ["Instructions are no string."] if "instructions" in catalog and not isinstance(instructions, str) else []

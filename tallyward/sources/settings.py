@@ -7,6 +7,7 @@ from typing import Any
 
 from ..functions.jsontext import JsonRefused, env_file, fill, read, strip_comments
 from ..operators.rules import RULES, Config
+from .catalog import gap
 
 SEVERITIES = ("error", "warning", "info", "off")
 
@@ -25,11 +26,11 @@ def servers(text: str, env: dict[str, str] | None = None, folder: str = ".", hom
         raise JsonRefused("no servers in this configuration")
     ready, gaps = [], []
     for name, entry in found.items():
-        gap = lambda status, detail, name=name: gaps.append({"server_id": name, "scope": "config", "status": status, "pages": 0, "received": 0, "retained": 0, "detail": detail})
+        lost = lambda status, detail, name=name: gaps.append({"server_id": name, "scope": "config"} | gap(status, detail))
         if not isinstance(entry, dict):
-            gap("incomplete", "The entry is no object.")
+            lost("incomplete", "The entry is no object.")
         elif entry.get("disabled") is True or entry.get("enabled") is False:
-            gap("disabled", "Disabled in the configuration.")
+            lost("disabled", "Disabled in the configuration.")
         else:
             mine = dict(env or {})
             if isinstance(entry.get("envFile"), str):
@@ -37,11 +38,11 @@ def servers(text: str, env: dict[str, str] | None = None, folder: str = ".", hom
                 mine |= env_file((files or {}).get(path or "", ""))
             filled = _filled(entry, mine, folder, home)
             if filled is None:
-                gap("incomplete", "A placeholder is not resolved.")
+                lost("incomplete", "A placeholder is not resolved.")
             elif isinstance(filled.get("command"), str) or isinstance(filled.get("url"), str):
                 ready.append({"server_id": name, "kind": "command" if "command" in filled else "url", "entry": filled})
             else:
-                gap("incomplete", "Neither a command nor a URL.")
+                lost("incomplete", "Neither a command nor a URL.")
     return ready, gaps
 
 

@@ -10,7 +10,7 @@ from tallyward.operators.similarity import durable
 from tallyward.sinks import reports
 from tallyward.sources.catalog import parse, tables
 
-OK = {"type": "object", "properties": {}, "additionalProperties": False}
+OK = {"additionalProperties": False, "type": "object"}
 
 
 def tool(name, description="Returns the current list of open items.", schema=OK, **more):

@@ -18,11 +18,15 @@ from tallyward.sources import settings
 from tallyward.sources.catalog import entries
 
 
+PLACE = dict(scope="tools/list", serverId="s")
+
+
 def envelope(tools=(), status="complete", scopes=("tools/list",), servers=("s",), received=None, extra=()):
-    definitions = [{"serverId": "s", "scope": "tools/list", "value": v} for v in tools]
+    definitions = [{"value": v} | PLACE for v in tools]
     n = len(definitions) if received is None else received
-    cover = [{"serverId": "s", "scope": x, "status": status, "pages": 1, "received": n if x == "tools/list" else 0, "retained": n if x == "tools/list" else 0} for x in scopes]
-    return json.dumps({"format": diff.FORMAT, "schemaVersion": 1, "createdAt": "2024-01-01T00:00:00Z", "servers": [{"id": s} for s in servers], "collection": cover + list(extra), "definitions": definitions})
+    cover = [PLACE | {"scope": x, "pages": 1, "status": status} | dict.fromkeys(("received", "retained"), n if x == PLACE["scope"] else 0) for x in scopes]
+    head = {"createdAt": "2024-01-01T00:00:00Z", "format": diff.FORMAT, "schemaVersion": 1}
+    return json.dumps(head | {"definitions": definitions, "collection": cover + list(extra), "servers": [{"id": s} for s in servers]})
 
 
 def compare(spark, a, b):
@@ -38,12 +42,12 @@ A, B = {"name": "a", "x": {"p": 1, "q": [1, 2]}}, {"name": "b"}
 
 def test_order_is_no_change(spark):
     c = compare(spark, envelope([A, B]), envelope([B, {"x": {"q": [1, 2], "p": 1.0}, "name": "a"}]))
-    assert counts(c) == {"unchanged": 3, "complete": True} and c.exit_code == 0
+    assert counts(c) == dict(unchanged=3, complete=True) and c.exit_code == 0
 
 
 def test_changes(spark):
     c = compare(spark, envelope([A, B]), envelope([{"name": "a", "x": {"p": None, "q": [2, 1]}}, {"name": "c"}]))
-    assert counts(c) == {"added": 1, "removed": 1, "changed": 1, "unchanged": 1, "complete": True} and c.exit_code == 1
+    assert counts(c) == dict(added=1, removed=1, changed=1, unchanged=1, complete=True) and c.exit_code == 1
     got = {(r["identity"], r["pointer"]): (r["before"], r["after"]) for r in c.fields.collect()}
     assert got[("a", "/x/p")] == ("1", "null") and got[("a", "/x/q")] == ("[1,2]", "[2,1]") and got[("c", "")][0] is None
     assert "absent" in reports.comparison_text(c) and json.loads(reports.comparison_json(c))["summary"]["added"] == 1 and "<table>" in reports.comparison_html(c)
@@ -51,15 +55,15 @@ def test_changes(spark):
 
 def test_gaps_are_no_removals(spark):
     c = compare(spark, envelope([A, B]), envelope([A], status="incomplete"))
-    assert counts(c) == {"unchanged": 2, "unpaired": 1} and c.exit_code == 2
-    file = [{"serverId": "s", "scope": "connection", "status": "incomplete", "pages": 0, "received": 0, "retained": 0}]
+    assert counts(c) == dict(unchanged=2, unpaired=1) and c.exit_code == 2
+    file = [PLACE | {"scope": "connection", "pages": 0, "status": "incomplete"} | dict.fromkeys(("received", "retained"), 0)]
     c = compare(spark, envelope([A, B]), envelope([A], extra=file))
-    assert counts(c) == {"unchanged": 1, "unpaired": 2} and c.exit_code == 2
+    assert counts(c) == dict(unchanged=1, unpaired=2) and c.exit_code == 2
 
 
 def test_duplicates_and_nameless(spark):
     c = compare(spark, envelope([A, A]), envelope([A, {"title": "x"}]))
-    assert counts(c) == {"unchanged": 1, "unpaired": 4} and c.issues.count() == 2
+    assert counts(c) == dict(unchanged=1, unpaired=4) and c.issues.count() == 2
 
 
 def test_problems(spark):
