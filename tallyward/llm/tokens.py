@@ -3,7 +3,8 @@
 For such a vocabulary (white space is dropped, every piece ends inside one run of
 other characters) a text's ids are the ids of its white-space separated chunks put
 together. Chunks repeat, so their ids are kept in a memo that is emptied when full;
-those not in it are encoded together, once a batch.
+those not in it are encoded together, once a batch. A chunk of lower-case letters below
+U+0250 is one piece that normalising leaves alone, so it goes to the merges directly.
 """
 
 from __future__ import annotations
@@ -15,7 +16,18 @@ from itertools import chain, pairwise
 import numpy as np
 
 #: Chunks kept before the memo is emptied.
-MEMO = 700_000
+MEMO = 1_200_000
+#: How byte-level vocabularies show bytes that are no printable character.
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174))}
+
+
+def _one_piece(chunk: bytes) -> bool:
+    if chunk.isascii():
+        return chunk.isalpha()  # capitals are folded before
+    text = chunk.decode()
+    return text.isalpha() and max(text) < "\u0250" and text.lower() == text
+
+
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -29,11 +41,17 @@ class ChunkTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merges = Tokenizer(self.model.model)  # neither normalises nor splits
         self.memo: dict[bytes, bytes] = {}
         self.stops = {c: self._direct([bytes([c])])[0] for c in b",."}
 
     def _direct(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.model.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        plain, other = [], []
+        for c in chunks:
+            (plain if _one_piece(c) else other).append(c)
+        chunks[:] = plain + other
+        found = self.merges.encode_batch_fast([c.decode() if c.isascii() else c.decode("latin-1").translate(_SHOWN) for c in plain], add_special_tokens=False)
+        found += self.model.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)
         ids = [x.ids for x in found]
         ends = np.cumsum([4 * len(x) for x in ids]).tolist()
         joined = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
@@ -43,7 +61,8 @@ class ChunkTokenizer:
         # a full stop or comma right after an ASCII letter or digit is a piece of its own
         stopped = [c for c in missing if len(c) > 1 and c[-1] in self.stops and c[-2] in _ALNUM]
         plain = list({c[:-1] for c in stopped}.union(missing.difference(stopped)).difference(self.memo))
-        self.memo.update(zip(plain, self._direct(plain), strict=True))
+        ids = self._direct(plain)  # puts the chunks in its own order
+        self.memo.update(zip(plain, ids, strict=True))
         for c in stopped:
             self.memo[c] = self.memo[c[:-1]] + self.stops[c[-1]]
 

@@ -95,8 +95,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     n_c, n_q = vectors.count(), queries.count()
     c_blocks = written(_blocks(c, CANDIDATES, n_c), "candidates")
     q_blocks = _blocks(q, QUERIES, n_q).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("ws").alias("q_ws"))
-    q_count = max(1, math.ceil(n_q / QUERIES))
-    pairs = c_blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_count - 1)))).join(q_blocks, "q_block")
+    q_count, c_count = (max(1, math.ceil(n / size)) for n, size in ((n_q, QUERIES), (n_c, CANDIDATES)))
+    # both sides name the pair, so that pairs are dealt evenly
+    left = c_blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_count - 1))))
+    right = q_blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(c_count - 1))))
+    pairs = left.join(right, ["q_block", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
