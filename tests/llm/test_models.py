@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyward.llm import langid, queries, topk, toxicity
 
@@ -25,7 +26,7 @@ def test_language_edges(spark):
     d = docs(spark, [(1, None), (2, ""), (3, "123 ... !!"), (None, "the words"), (5, "the words " * 30000), (5, "²ⅷ")]).selectExpr("*", "1 AS held_out", "2 AS score")
     got = langid.identify(d).collect()
     assert len(got) == 6 and {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3)} == {"und"}
-    none = langid.identify(d.withColumn("lang", d.lang.substr(9, 1).cast("int").cast("string"))).collect()
+    none = langid.identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}  # nothing to learn from
     assert langid.identify(d.limit(0)).count() == 0
 
