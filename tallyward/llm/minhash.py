@@ -6,9 +6,7 @@ whole sequence as one. Documents are linked where 100 * intersection >= 85 * uni
 1. Each text gives its set's size, a digest of the set and a signature of 256 minima.
    Equal sets are one class from here on; a class is named by its digest.
 2. The forest: 16 orders of the signature's places. Classes that agree on the first four
-   places of an order form a region. A region of more than ``REGION`` classes is cut by
-   more places, again and again, until it is small: depth follows density. (Regions that
-   agree on all 32 places are cut in blocks that share the region's first class.)
+   places of an order form a region, however many they are.
 3. Inside a region signatures are compared all with all, but only a maximal spanning
    forest of the likeness over the threshold is put out: with each class its nearest
    neighbour in the region, at most one pair a class.
@@ -38,10 +36,8 @@ from pyspark.sql import functions as F
 from .common import U64, as_bytes, chunks, mix, prepare, runs, spans, words, written
 from .components import connected
 
-#: Words of a shingle; minima of a signature; orders of the forest; their depths.
-SHINGLE, PLACES, ORDERS, DEPTHS = 5, 256, 16, (4, 6, 8, 12, 16, 24, 32)
-#: Classes of a region that are compared all with all.
-REGION = 1024
+#: Words of a shingle; minima of a signature; orders of the forest; places that a region agrees on.
+SHINGLE, PLACES, ORDERS, DEPTH = 5, 256, 16, 4
 #: Places (of 256) on which two signatures agree at least, to be confirmed.
 AGREE = 193
 #: A link: NUMERATOR * union <= 100 * intersection.
@@ -106,34 +102,12 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, sig binary")
 
 
-def _keys(depth: int):
-    """The first ``depth`` places of every order."""
-    return F.array(*[F.concat(*[F.substring("sig", p + 1, 1) for p in _ORDER[t][:depth]]) for t in range(ORDERS)])
-
-
-def regions(reps: DataFrame, most: int = REGION) -> DataFrame:
-    """(bucket, cls, order, depth): the regions of the forest with two classes or more; depth 0: a block of one."""
-    rows = reps.select("cls", F.posexplode(_keys(DEPTHS[0])).alias("order", "key"))
-    done = []
-    for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], 0], strict=True):
-        counts = rows.groupBy("order", "key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader")).where("n > 1")
-        rows = written(rows.join(counts, ["order", "key"]), "regions")
-        bucket = F.xxhash64("order", F.lit(depth), "key")
-        done.append(rows.where(F.col("n") <= most).select(bucket.alias("bucket"), "cls", "order", F.lit(depth).alias("depth")))
-        large = rows.where(F.col("n") > most)
-        if large.isEmpty():
-            break
-        if not deeper:
-            block = F.pmod(F.hash("cls"), F.ceil(F.col("n") / most).cast("int"))
-            cut = large.select(F.xxhash64("order", F.lit(0), "key", block).alias("bucket"), "cls", "order", F.lit(0).alias("depth"), "leader")
-            first = cut.select("bucket", F.col("leader").alias("cls"), "order", "depth").distinct()
-            done.append(cut.drop("leader").unionByName(first).distinct())
-        else:
-            rows = large.select("order", "cls").join(reps, "cls").select("cls", "order", F.element_at(_keys(deeper), F.col("order") + 1).alias("key"))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+def regions(reps: DataFrame) -> DataFrame:
+    """(bucket, cls, order): the regions of the forest with two classes or more."""
+    keys = F.array(*[F.concat(*[F.substring("sig", p + 1, 1) for p in _ORDER[t][:DEPTH]]) for t in range(ORDERS)])
+    rows = reps.select("cls", F.posexplode(keys).alias("order", "key"))
+    counts = rows.groupBy("order", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(counts, ["order", "key"]).select(F.xxhash64("order", "key").alias("bucket"), "cls", "order")
 
 
 def spanning(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -207,7 +181,7 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs over the threshold whose labels differ, each from the first order in which the two share a bucket."""
     for t, cls, sig, bounds in _buckets(batches):
-        label, order, depths = t.column("label").to_numpy(), t.column("order").to_numpy(), _matrix(t, "depths")
+        label, order = t.column("label").to_numpy(), t.column("order").to_numpy()
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if (label[lo:hi] == label[lo]).all():
@@ -217,12 +191,10 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(other):
                     other = other[np.count_nonzero(sig[other] == sig[i], axis=1) >= AGREE]
                 for earlier in range(order[i]):
-                    if depth := int(depths[i, earlier]):
-                        if not len(other):
-                            break
-                        places = _ORDER[earlier][:depth]
-                        met = (depths[other, earlier] == depth) & (sig[other][:, places] == sig[i, places]).all(axis=1)
-                        other = other[~met]
+                    if not len(other):
+                        break
+                    places = _ORDER[earlier][:DEPTH]
+                    other = other[(sig[other][:, places] != sig[i, places]).any(axis=1)]
                 if len(other):
                     a.append(np.full(len(other), cls[i]))
                     b.append(cls[other])
@@ -275,14 +247,14 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(docs.join(wanted, "doc_id").select("cls", "text").mapInArrow(run, "cls long, body binary").dropDuplicates(["cls"]), "bodies")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     prepare(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(_sets(own), "sets")
     classes = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     reps = written(classes, "classes")
-    buckets = written(regions(reps.select("cls", "sig"), region), "buckets")
+    buckets = written(regions(reps.select("cls", "sig")), "buckets")
     signed = buckets.join(reps.select("cls", "sig"), "cls")
     ordered = signed.repartition("bucket").sortWithinPartitions("bucket", "cls").select("bucket", "cls", "sig")
     pairs = written(ordered.mapInArrow(_nearest, "a long, b long").distinct(), "pairs")
@@ -293,10 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = connected(links)
     # pairs that the spanning forests left out, between classes still apart
     near = nodes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
-    # the depth, in each order, of the bucket that a class is in (0: none, or a block)
-    depths = buckets.groupBy("cls").agg(F.concat(*[F.unhex(F.lpad(F.hex(F.coalesce(F.max(F.when(F.col("order") == t, F.col("depth"))), F.lit(0))), 2, "0")) for t in range(ORDERS)]).alias("depths"))
-    known = near.join(depths, "cls")
-    labelled = signed.join(known, "cls").repartition("bucket").sortWithinPartitions("bucket", "cls").select("bucket", "cls", "order", "sig", "label", "depths")
+    labelled = signed.join(near, "cls").repartition("bucket").sortWithinPartitions("bucket", "cls").select("bucket", "cls", "order", "sig", "label")
     more = written(labelled.mapInArrow(_apart, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "apart")
     if not more.isEmpty():
         found = _links(more, texts)

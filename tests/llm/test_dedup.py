@@ -71,6 +71,20 @@ def test_many_equal_and_deep_regions(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_star_of_many_variants(spark):
+    # far more variants than a region holds, 0.86 or 0.90 alike to the base, less to each other
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for k in range(1200):
+        variant = list(base)
+        for at in rng.sample(range(5, 195, 10), 2 + k % 2):
+            variant[at + rng.randrange(5)] = f"v{k}_{at}"
+        texts.append(" ".join(variant))
+    got = minhash.near_duplicates(docs(spark, texts), region=64).groupBy("component_id").count().collect()
+    assert [(r["component_id"], r["count"]) for r in got] == [(0, len(texts))]
+
+
 def test_near_duplicate_edges(spark):
     d = docs(spark, [(7, "a b c d e f"), (7, "a b c d e f"), (7, "other words of this id here"), (None, "a b c d e f"), (3, "A B C D E F")]).selectExpr("*", "1 AS cls", "2 AS sig", "3 AS bucket")
     got = minhash.near_duplicates(d).collect()
