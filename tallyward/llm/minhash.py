@@ -6,10 +6,13 @@ whole sequence as one. Documents are linked where 100 * intersection >= 85 * uni
 1. Each text gives its set's size, a digest of the set and a signature of 256 minima.
    Equal sets are one class from here on; a class is named by its digest.
 2. The forest: 16 orders of the signature's places. Classes that agree on the first four
-   places of an order form a region, however many they are.
-3. Inside a region signatures are compared all with all, but only a maximal spanning
+   places of an order form a region, however many they are. A region of more than
+   ``BLOCKS * REGION`` classes is cut in blocks of about that many, and each two of its
+   blocks form a bucket, so every pair of a region meets and memory stays bounded; the
+   work in such a region grows with the square of its classes.
+3. Inside a bucket signatures are compared all with all, but only a maximal spanning
    forest of the likeness over the threshold is put out: with each class its nearest
-   neighbour in the region, at most one pair a class.
+   neighbour in the bucket, at most one pair a class.
 4. Pairs are confirmed on the full sets, and the links give components.
 5. What the forest left out: pairs of a region whose likeness is over the threshold
    although their components differ. All of them are confirmed as well, so no pair
@@ -38,6 +41,8 @@ from .components import connected
 
 #: Words of a shingle; minima of a signature; orders of the forest; places that a region agrees on.
 SHINGLE, PLACES, ORDERS, DEPTH = 5, 256, 16, 4
+#: Classes of a region that are compared at once are BLOCKS * REGION, or two blocks of as many.
+REGION, BLOCKS = 1024, 4
 #: Places (of 256) on which two signatures agree at least, to be confirmed.
 AGREE = 193
 #: A link: NUMERATOR * union <= 100 * intersection.
@@ -102,12 +107,17 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, sig binary")
 
 
-def regions(reps: DataFrame) -> DataFrame:
-    """(bucket, cls, order): the regions of the forest with two classes or more."""
+def regions(reps: DataFrame, most: int = REGION) -> DataFrame:
+    """(bucket, cls, order): the regions of the forest with two classes or more, large ones in pairs of blocks."""
     keys = F.array(*[F.concat(*[F.substring("sig", p + 1, 1) for p in _ORDER[t][:DEPTH]]) for t in range(ORDERS)])
     rows = reps.select("cls", F.posexplode(keys).alias("order", "key"))
     counts = rows.groupBy("order", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(counts, ["order", "key"]).select(F.xxhash64("order", "key").alias("bucket"), "cls", "order")
+    blocks = F.ceil(F.col("n") / (BLOCKS * most)).cast("int")
+    cut = rows.join(counts, ["order", "key"]).select("cls", "order", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("own"))
+    # the other block of each bucket; a region of one block is a bucket by itself
+    others = F.when(F.col("blocks") == 1, F.array("own")).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
+    met = cut.withColumn("other", F.explode(others))
+    return met.select(F.xxhash64("order", "key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "cls", "order")
 
 
 def spanning(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -247,14 +257,14 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(docs.join(wanted, "doc_id").select("cls", "text").mapInArrow(run, "cls long, body binary").dropDuplicates(["cls"]), "bodies")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     prepare(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(_sets(own), "sets")
     classes = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     reps = written(classes, "classes")
-    buckets = written(regions(reps.select("cls", "sig")), "buckets")
+    buckets = written(regions(reps.select("cls", "sig"), region), "buckets")
     signed = buckets.join(reps.select("cls", "sig"), "cls")
     ordered = signed.repartition("bucket").sortWithinPartitions("bucket", "cls").select("bucket", "cls", "sig")
     pairs = written(ordered.mapInArrow(_nearest, "a long, b long").distinct(), "pairs")

@@ -85,6 +85,21 @@ def test_star_of_many_variants(spark):
     assert [(r["component_id"], r["count"]) for r in got] == [(0, len(texts))]
 
 
+def test_blocks_of_a_region_all_meet(spark):
+    # one region in every order: each pair of it shares a bucket, and buckets stay small
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 256, minhash.PLACES).astype(np.uint8).tobytes()
+    ids = rng.integers(-(2**62), 2**62, 100).tolist()
+    reps = spark.createDataFrame([(i, bytearray(sig)) for i in ids], "cls long, sig binary")
+    buckets = {}
+    for r in minhash.regions(reps, 2).collect():
+        buckets.setdefault((r["order"], r["bucket"]), set()).add(r["cls"])
+    for order in range(minhash.ORDERS):
+        mine = [b for (o, _), b in buckets.items() if o == order]
+        assert {(a, b) for m in mine for a in m for b in m} == {(a, b) for a in ids for b in ids}
+        assert max(map(len, mine)) < len(ids) / 2
+
+
 def test_near_duplicate_edges(spark):
     d = docs(spark, [(7, "a b c d e f"), (7, "a b c d e f"), (7, "other words of this id here"), (None, "a b c d e f"), (3, "A B C D E F")]).selectExpr("*", "1 AS cls", "2 AS sig", "3 AS bucket")
     got = minhash.near_duplicates(d).collect()
