@@ -3,19 +3,20 @@
 Base kinds, leftmost matches without overlap: ``assign`` (a key word, a colon or equals
 sign, a value of 12 characters or more), ``access`` (AKIA...), ``hex`` (16 or more).
 Values are hashed and counted over the corpus by distinct repositories and distinct
-owners. A value that several owners have is a copied example; one that a single owner
-has and that looks like a credential (letters and digits mixed, many different
-characters, no placeholder word) is live-looking. Beyond the base kinds the method adds
-a span ``owned`` for each long mixed token of that sort that a single owner has, outside
-of base spans.
+owners. A value that several owners have, or that very many repositories of one owner
+have (``SPREAD``), is a copied example; one that is not copied and that looks like a
+credential (letters and digits mixed, many different characters, no placeholder word) is
+live-looking. Beyond the base kinds the method adds a span ``owned`` for each long mixed
+token of that sort that is not copied, outside of base spans.
 
 Positions come from the lengths of what lies between matches: splitting at a pattern and
 extracting its matches walk a text alike. Each text is scanned once; from then on only
 lengths and hashes move. Values in very many rows are counted by partial aggregation.
 
-Edge cases: null text is empty and has no spans; null owners count as one owner; rows
-with a null id, or that share one, are scanned each on its own; matches next to each
-other, at the ends of a text and astral characters count in code points.
+Edge cases: null text is empty and has no spans; null owners count as one owner, null
+repositories as none; rows with a null id, or that share one, are scanned each on its own;
+matches next to each other, at the ends of a text and astral characters count in code
+points.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ BASE = {
 EXTRA = r"[A-Za-z0-9+/_-]{20,}"
 #: Owners of a value, from which on it is a copied example.
 COPIED = 2
+#: Repositories of a value, from which on it is a copied example even within one owner: an
+#: owner's own credential is in a few of its repositories, an example or a header in dozens.
+SPREAD = 50
 #: What stands in place of a secret in a redacted text.
 MASK = "[SECRET]"
 _PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|x{4,}|1234|abcd"
@@ -83,13 +87,14 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner
     judged = once.join(ownership(found), "hash")
     span = F.struct("start", "kind", "end")
     base = F.col("kind") < len(BASE)
+    copied = (F.col("owners") >= COPIED) | (F.col("repos") >= SPREAD)
     counts = {f"n_{k}": F.count_if(F.col("kind") == i) for i, k in enumerate(BASE)}
     rows = judged.groupBy("row").agg(
         *[c.alias(n) for n, c in counts.items()],
         F.array_sort(F.collect_list(F.when(base, span))).alias("base"),
-        F.array_sort(F.collect_list(F.when(~base & (F.col("owners") < COPIED), span))).alias("more"),
-        F.count_if(base & F.col("live") & (F.col("owners") < COPIED)).alias("n_live"),
-        F.count_if(base & (F.col("owners") >= COPIED)).alias("n_copied"),
+        F.array_sort(F.collect_list(F.when(~base & ~copied, span))).alias("more"),
+        F.count_if(base & F.col("live") & ~copied).alias("n_live"),
+        F.count_if(base & copied).alias("n_copied"),
     )
     apart = F.filter("more", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
     return rows.withColumn("all", F.array_sort(F.concat("base", apart))).drop("more")

@@ -63,5 +63,17 @@ def test_ownership(spark):
     assert masked[0]["text"] == f"see {secrets.MASK} here" and masked[1]["text"] == f"see {copied} here" and masked[3]["text"] == secrets.MASK
 
 
+def test_token_in_many_documents_of_one_source(spark):
+    spread, own = "Zq8Kd03mVx71LpTe92Rb", "Yw5Hc27nUg64JsFa81Xo"
+    texts = [f"see {spread} in {i}" for i in range(secrets.SPREAD - 1)] + [f"token={spread}"]
+    texts += [f"see {own} in {i}" for i in range(secrets.SPREAD - 2)] + [f"token={own}"]
+    got = rows(secrets.scan(docs(spark, texts)))
+    last, other = secrets.SPREAD - 1, len(texts) - 1
+    assert {got[i]["spans"] for i in range(last)} == {""}
+    assert (got[last]["n_live"], got[last]["n_copied"]) == (0, 1)
+    assert {got[i]["spans"] for i in range(last + 1, other)} == {"owned:4:24"}
+    assert (got[other]["n_live"], got[other]["n_copied"]) == (1, 0)
+
+
 def test_empty(spark):
     assert secrets.scan(docs(spark, ["x"]).limit(0)).count() == 0
