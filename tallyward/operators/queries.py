@@ -8,6 +8,7 @@ add the same text to the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -310,16 +311,24 @@ _FINDINGS = """SELECT CASE WHEN n_chars > 20000 THEN 'safety/x' WHEN n_chars > 1
  CASE WHEN doc_id % 10 = 0 THEN 'nowhere' ELSE 'd' || (doc_id % 200) END AS subject_name, doc_id FROM documents WHERE n_chars > 9000 OR n_chars < 600"""
 
 
-def _derived(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings derived from documents."""
+_WHOLE = _FINDINGS.removesuffix(" WHERE n_chars > 9000 OR n_chars < 600")
+
+
+def _derived(spark: SparkSession, sf: str, which: str = "n_chars > 9000 OR n_chars < 600") -> DataFrame:
+    """Findings derived from documents; by default from those that _FINDINGS takes."""
     n, low = F.col("n_chars"), F.col("n_chars") < 400
     rule = F.when(n > 20000, "safety/x").when(n > 1200, "description/too-long").when(low, "description/too-short").otherwise("naming/y")
     severity = F.when((n > 20000) | (n < 100), "error").when(n > 1200, "info").otherwise("warning")
     name = F.when(F.col("doc_id") % 10 == 0, "nowhere").otherwise(F.concat(F.lit("d"), F.col("doc_id") % 200))
-    d = read(spark, sf, "documents").where((n > 9000) | (n < 600))
+    d = read(spark, sf, "documents").where(which)
     return d.select(rule.alias("rule_id"), severity.alias("severity"), F.col("lang").alias("target_id"), F.col("source").alias("server_id"), F.lit("tool").alias("subject_kind"), name.alias("subject_name"), "doc_id")
 
 
+def _derived_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings derived from every document."""
+    return _derived(spark, sf, "true")
+
+
 @query(f"""
 WITH f AS ({_FINDINGS}), w AS (SELECT *, CASE severity WHEN 'error' THEN 10 WHEN 'warning' THEN 4 ELSE 1 END AS w FROM f),
 i AS (SELECT DISTINCT lang AS target_id, source AS server_id, 'd' || (doc_id % 200) AS subject_name FROM documents WHERE doc_id % 10 <> 0),
@@ -330,10 +339,10 @@ s AS (SELECT target_id, sum(w) AS safety FROM w WHERE starts_with(rule_id, 'safe
 SELECT t.target_id, CAST(greatest(0, least(100, floor(coalesce(base, 100) - coalesce(other, 0) - coalesce(safety, 0) + 0.5))) AS INTEGER) AS score
 FROM (SELECT DISTINCT lang AS target_id FROM documents) t LEFT JOIN b USING (target_id) LEFT JOIN o USING (target_id) LEFT JOIN s USING (target_id)
 """)
-def score(spark, sf):
+def score(spark, sf, derived=_derived):
     d = read(spark, sf, "documents")
     items = d.where("doc_id % 10 <> 0").select(F.col("lang").alias("target_id"), F.col("source").alias("server_id"), F.lit("tool").alias("kind"), F.concat(F.lit("d"), F.col("doc_id") % 200).alias("name"))
-    return engine.scores(_derived(spark, sf), items, d.select(F.col("lang").alias("target_id")).distinct())
+    return engine.scores(derived(spark, sf), items, d.select(F.col("lang").alias("target_id")).distinct())
 
 
 _GRADED = f"""SELECT doc_id, rule_id, CASE WHEN rule_id = 'naming/y' THEN 'info' ELSE severity END AS severity FROM ({_FINDINGS})
@@ -341,32 +350,38 @@ WHERE rule_id <> 'description/too-long' AND rule_id <> 'safety/x' AND rule_id ||
 
 
 @query(_GRADED)
-def override_and_ignore(spark, sf):
+def override_and_ignore(spark, sf, derived=_derived):
     config = Config(severities={"naming/y": "info", "description/too-long": "off"}, ignore=["safety/x", "naming/y:d7"])
-    return engine.graded(_derived(spark, sf), config).select("doc_id", "rule_id", "severity")
+    return engine.graded(derived(spark, sf), config).select("doc_id", "rule_id", "severity")
 
 
 @query(f"SELECT rule_id, count(DISTINCT target_id) AS servers, count(*) AS findings, CAST(count(*) FILTER (severity = 'error') AS BIGINT) AS errors FROM ({_FINDINGS}) GROUP BY rule_id")
-def rule_table(spark, sf):
-    return census.rule_table(_derived(spark, sf)).select("rule_id", "servers", "findings", F.coalesce(F.element_at("severities", "error"), F.lit(0).cast("long")).alias("errors"))
+def rule_table(spark, sf, derived=_derived):
+    return census.rule_table(derived(spark, sf)).select("rule_id", "servers", "findings", F.coalesce(F.element_at("severities", "error"), F.lit(0).cast("long")).alias("errors"))
 
 
 @query(f"SELECT server_id, subject_name, count(*) AS n, min(CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS worst FROM ({_FINDINGS}) GROUP BY ALL")
-def subjects(spark, sf):
+def subjects(spark, sf, derived=_derived):
     """Findings by subject with their worst severity."""
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return _derived(spark, sf).groupBy("server_id", "subject_name").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("worst"))
+    return derived(spark, sf).groupBy("server_id", "subject_name").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("worst"))
 
 
 @query(f"SELECT DISTINCT r AS rule_id FROM (VALUES ('safety/x'), ('naming/y'), ('schema/z'), ('description/too-long')) v(r) WHERE r IN (SELECT rule_id FROM ({_FINDINGS}))")
-def rules_used(spark, sf):
+def rules_used(spark, sf, derived=_derived):
     known = spark.createDataFrame([("safety/x",), ("naming/y",), ("schema/z",), ("description/too-long",)], "rule_id string")
-    return known.join(_derived(spark, sf), "rule_id", "left_semi")
+    return known.join(derived(spark, sf), "rule_id", "left_semi")
+
+
+# the same over the findings of every document
+for _f in (score, override_and_ignore, rule_table, subjects, rules_used):
+    QUERIES[f"{_f.__name__}_all"] = partial(_f, derived=_derived_all)
+    SQL[f"{_f.__name__}_all"] = SQL[_f.__name__].replace(_FINDINGS, _WHOLE)
 
 
 def review_sample(spark, sf):
     """At most eight findings of each rule, by a seeded hash."""
-    return census.review_sample(_derived(spark, sf).withColumn("message", F.col("doc_id").cast("string")))
+    return census.review_sample(_derived_all(spark, sf).withColumn("message", F.col("doc_id").cast("string")))
 
 
 QUERIES["review_sample"] = review_sample
