@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, prepare, spans
@@ -34,6 +34,7 @@ from .common import as_bytes, chunks, prepare, spans
 ROWS, WIDTH, LONGEST = 1 << 15, 8, 4
 #: Labelled texts that training reads at most, and the longest that it takes.
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
+EACH = 50  # texts of each language that enter the sample before others
 STEPS, RATE, BATCH, SCALE = 500, 0.15, 32, 30.0
 PRECISION = 0.99
 UNKNOWN = "und"
@@ -154,11 +155,16 @@ def probabilities(model: Model, column: pa.Array) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, text_col: str, lang_col: str, most: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most ``most`` labelled texts of SAMPLE_CHARS characters at most, those of smallest hash."""
+    """At most ``most`` labelled texts of SAMPLE_CHARS characters at most: up to EACH of every language, then those of smallest hash."""
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS)).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(text_col, F.lit(5)).alias("h"))
-    # texts are fetched once their hashes are known, so that only short rows are sorted
-    last = rows.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    got = rows.where(F.col("h") <= F.lit(last)).dropDuplicates(["h", "l"]).collect() if last is not None else []
+    # texts are fetched once their hashes are known, so that only short rows are sorted; copies count once
+    turn = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    ranked = rows.select("h", "l").distinct().withColumn("n", turn).where(F.col("n") <= most)
+    chosen = ranked.orderBy(F.least("n", F.lit(EACH + 1)), "h", "l").limit(most).select("h", "l").collect()
+    if not chosen:
+        return [], []
+    few = labelled.sparkSession.createDataFrame(chosen, "h long, l string")  # SAMPLE rows at most
+    got = rows.join(F.broadcast(few), ["h", "l"]).dropDuplicates(["h", "l"]).collect()
     got.sort(key=lambda r: (r["h"], r["l"]))
     return [r["t"] for r in got], [r["l"] for r in got]
 

@@ -22,6 +22,17 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_sample(spark):
+    """Copies do not use up the bound, and a rare language is in the sample whatever its hashes."""
+    copies = [(f"copy {i % 3}", "en") for i in range(600)]
+    many = [(f"text {i}", "en") for i in range(300)]
+    rare = [(f"rare {i}", "xx") for i in range(3)]
+    d = spark.createDataFrame(copies + many + rare, "text string, lang string")
+    texts, langs = langid.sample(d, "text", "lang", 100)
+    assert len(set(texts)) == len(texts) == 100 and langs.count("xx") == 3
+    assert (texts, langs) == langid.sample(d.repartition(7), "text", "lang", 100)
+
+
 def test_language_edges(spark):
     d = docs(spark, [(1, None), (2, ""), (3, "123 ... !!"), (None, "the words"), (5, "the words " * 30000), (5, "²ⅷ")]).selectExpr("*", "1 AS held_out", "2 AS score")
     got = langid.identify(d).collect()
