@@ -8,34 +8,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch sent to Python; texts may be long, so few.
-BATCH_ROWS = 400
 #: Bytes of text that one vectorised step handles.
 CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Settings every Python-backed operator relies on (bounded Arrow batches)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only a session without one gets a local folder."""
+    """The folder all executors share. A session without one gets a local folder, but only where all of it runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext.getCheckpointDir()
         if known:
             return known
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -94,6 +88,61 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``most`` bytes in one column, but for the last; Spark bounds its own at 64 MB."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+class Memo:
+    """What ``learn`` gives for keys, kept in two generations of at most ``most`` bytes each.
+
+    When the young generation is full it becomes the old one, which goes; what is asked
+    for again moves to the young one. Entries of more than ``LONG`` bytes are not kept.
+    The bound is checked after each call, so a generation holds one call's keys above it.
+    """
+
+    #: Bytes that an entry takes beside its key and value.
+    ENTRY, LONG = 170, 4096
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int = 80 << 20):
+        self.learn, self.most, self.size = learn, most, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def many(self, keys: list[str]) -> list[bytes]:
+        """Values of distinct keys."""
+        out = list(map(self.young.get, keys))
+        missing = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in missing:
+            if (x := self.old.get(keys[i])) is None:
+                new.append(i)
+            else:
+                out[i] = x
+        for i, x in zip(new, self.learn([keys[i] for i in new]) if new else (), strict=True):
+            out[i] = x
+        if missing:
+            names, values = [keys[i] for i in missing], [out[i] for i in missing]
+            sizes = [len(k) + len(v) for k, v in zip(names, values, strict=True)]
+            if max(sizes) > self.LONG:
+                short = [n <= self.LONG for n in sizes]
+                names, values, sizes = ([x for x, y in zip(xs, short, strict=True) if y] for xs in (names, values, sizes))
+            self.young.update(zip(names, values, strict=True))
+            self.size += sum(sizes) + self.ENTRY * len(names)
+            if self.size > self.most:
+                self.old, self.young, self.size = self.young, {}, 0
+        return out
+
+
 # ---------------------------------------------------------------- hashing
 
 _rng = np.random.Generator(np.random.PCG64(20240229))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import written
 from .tokens import encode_rows
 
 #: Pieces that one packer handles, about; more pieces mean more packers.
@@ -64,13 +64,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every text."""
-    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for b in batches:
+        for keys, texts in encode_rows(batches, tokenizer):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encode_rows(b.column(1), tokenizer)):
+            for i, ids in enumerate(texts):
                 ids += tail
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
@@ -79,7 +78,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                     start.append(k // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

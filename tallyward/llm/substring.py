@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, chunks, mix, prepare, runs, spans, words, written
+from .common import U64, as_bytes, chunks, mix, runs, spans, words, written
 from .fmindex import FmIndex
 
 #: Words of a window, and of the run that serves as anchor.
@@ -230,7 +230,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The kept text is the words that stay, joined by single spaces (null stays null).
     """
-    prepare(docs.sparkSession)
     own = docs.select(F.xxhash64(id_col, text_col).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lost = written(intervals(own, **options), "lost")
 
@@ -253,7 +252,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without the words they lose, all columns as they are; other texts stay untouched."""
-    prepare(docs.sparkSession)
     rid = F.xxhash64(id_col, text_col)
     own = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lost = written(intervals(own, **options), "lost").select(F.col("rid").alias("_rid"), F.col("lost").alias("_lost"))

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, fresh_path, mix, prepare, written
+from .common import U64, fresh_path, mix, written
 from .tokens import encode_rows
 
 #: Ids of a record; records of a shard.
@@ -64,12 +64,19 @@ def feistel(index: np.ndarray, count: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _narrow(ids: bytes, width: int) -> bytes:
+    """32-bit ids in ``width`` bytes each."""
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) >> (8 * width):
+        raise ValueError(f"an id of {int(wide.max())} needs more than {width} bytes")
+    return wide.astype(f"<u{width}").tobytes()
+
+
 _META = "doc_id array<{kind}>, seq array<int>, start array<long>, length array<int>"
 
 
 def sequences(docs: DataFrame, tokenizer: str, stride: int, end_id: int, id_col: str, text_col: str, width: int, block: int = BLOCK) -> DataFrame:
     """Blocks of sequences (first: the place of the block's first one in its file; body: their ids, compressed)."""
-    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,18 +97,17 @@ def sequences(docs: DataFrame, tokenizer: str, stride: int, end_id: int, id_col:
                 x.clear()
             return out
 
-        for b in batches:
+        tail, step = np.array([end_id], f"<u{width}").tobytes(), stride * width
+        for keys, texts in encode_rows(batches, tokenizer):
             row = []
-            for i, ids in enumerate(encode_rows(b.column(1), tokenizer)):
-                every = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype(f"<u{width}")
-                n = len(every)
-                raw = every.tobytes()
-                for k in range(0, n, stride):
+            for i, ids in enumerate(texts):
+                raw = _narrow(ids, width) + tail
+                for k in range(0, len(raw), step):
                     row.append(i)
-                    seq.append(k // stride)
-                    start.append(k)
-                    body.append(raw[k * width : (k + stride) * width])
-            ids_of.append(b.column(0).take(pa.array(row, pa.int64())))
+                    seq.append(k // step)
+                    start.append(k // width)
+                    body.append(raw[k : k + step])
+            ids_of.append(keys.take(pa.array(row, pa.int64())))
             if len(seq) >= block:
                 yield flush()
         if seq:
@@ -172,7 +178,6 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, stride: int = STRIDE
     (doc_id, seq, start, length, slot, shard, position, ids_crc32), position in bytes."""
     spark = docs.sparkSession
     table = written(sequences(docs, tokenizer, stride, end_id, id_col, text_col, width), "sequences")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are blocks from here on
     runs, total = slotted(table, key, records, width)
     size = HEADER + stride * width
     shards = max(1, math.ceil(total / records))

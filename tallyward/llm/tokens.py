@@ -2,37 +2,50 @@
 
 For such a vocabulary (white space is dropped, every piece ends inside one run of
 other characters) a text's ids are the ids of its white-space separated chunks put
-together. Chunks repeat, so their ids are kept in a memo that is emptied when full;
-those not in it are encoded together, once a batch. A chunk of lower-case letters below
-U+0250 is one piece that normalising leaves alone, so it goes to the merges directly.
+together. Arrow splits a group of texts and numbers its distinct chunks; only those are
+encoded, and their ids are gathered into one buffer. A chunk of lower-case Latin-1
+letters is one piece that normalising leaves alone: all of those are merged at once.
+The library encodes the others, but for those that a memo of bounded size has. Texts
+that hold the string of a special token go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks kept before the memo is emptied.
-MEMO = 1_200_000
-#: How byte-level vocabularies show bytes that are no printable character.
-_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174))}
+from .common import Memo, as_bytes, chunks, gathered, spans
+from .merges import Merges
 
+#: Bytes of text whose chunks are numbered together.
+GROUP = 8 << 20
+#: One piece without a change by normalising; longer ones are few and take many steps.
+PLAIN = "^[a-zß-öø-ÿ]{1,32}$"
+#: A full stop or comma right after an ASCII letter or digit, and last in its chunk, is a piece of its own.
+STOPPED, APART = r"([a-z0-9])([.,])([\x09-\x0d\x20]|$)", r"\1 \2\3"
+#: How byte-level vocabularies show each byte: printable ones as they are, the others from U+0100 on.
+_OWN = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+_SHOWN = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
 
-def _one_piece(chunk: bytes) -> bool:
-    if chunk.isascii():
-        return chunk.isalpha()  # capitals are folded before
-    text = chunk.decode()
-    return text.isalpha() and max(text) < "\u0250" and text.lower() == text
 
-
-_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+def _merges(path: str) -> Merges:
+    """Merges of a byte-level vocabulary with word ends."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    inner, last = (np.array([vocab[_SHOWN[b] + s] for b in range(256)]) for s in ("", suffix))
+    return Merges(inner, last, np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]))
 
 
 class ChunkTokenizer:
-    """Little-endian unsigned 32-bit ids of texts, as bytes."""
+    """Little-endian unsigned 32-bit ids of texts, as ``tokenizers`` gives them without added special tokens."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,46 +53,46 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.merges = Tokenizer(self.model.model)  # neither normalises nor splits
-        self.memo: dict[bytes, bytes] = {}
-        self.stops = {c: self._direct([bytes([c])])[0] for c in b",."}
-
-    def _direct(self, chunks: list[bytes]) -> list[bytes]:
-        plain, other = [], []
-        for c in chunks:
-            (plain if _one_piece(c) else other).append(c)
-        chunks[:] = plain + other
-        found = self.merges.encode_batch_fast([c.decode() if c.isascii() else c.decode("latin-1").translate(_SHOWN) for c in plain], add_special_tokens=False)
-        found += self.model.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.merges = _merges(path)
+        self.memo = Memo(self._learn, 32 << 20)
+
+    def _learn(self, missing: list[str]) -> list[bytes]:
+        ids = [x.ids for x in self.model.encode_batch_fast(missing, add_special_tokens=False)]
         joined = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        return [joined[a:z] for a, z in pairwise([0, *ends])]
-
-    def _learn(self, missing: set[bytes]) -> None:
-        # a full stop or comma right after an ASCII letter or digit is a piece of its own
-        stopped = [c for c in missing if len(c) > 1 and c[-1] in self.stops and c[-2] in _ALNUM]
-        plain = list({c[:-1] for c in stopped}.union(missing.difference(stopped)).difference(self.memo))
-        ids = self._direct(plain)  # puts the chunks in its own order
-        self.memo.update(zip(plain, ids, strict=True))
-        for c in stopped:
-            self.memo[c] = self.memo[c[:-1]] + self.stops[c[-1]]
-
-    def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
-        """Ids of each UTF-8 text. The tokenizer lower-cases, so ASCII capitals are folded first."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        cut = [t.lower().split() for t in texts]
-        missing: set[bytes] = set()
-        for chunks in cut:
-            missing.update(chunks)
-        missing.difference_update(self.memo)
-        if missing:
-            self._learn(missing)
-        get = self.memo.__getitem__
-        for chunks in cut:
-            yield b"".join(map(get, chunks))
+        return [joined[a:z] for a, z in pairwise([0, *np.cumsum([4 * len(x) for x in ids]).tolist()])]
+
+    def _distinct(self, words: pa.Array) -> tuple[pa.LargeListArray, np.ndarray]:
+        """Lists of ids, and the number of the list of each word."""
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+        known, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ids, begin = self.merges.encode(*spans(words.take(pa.array(known)).cast(pa.large_binary())))
+        found = self.memo.many(words.take(pa.array(others)).to_pylist())
+        ends = begin[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(begin, ends)), pa.array(np.append(ids, np.frombuffer(b"".join(found), "<u4"))))
+        number = np.empty(len(words), np.int64)
+        number[known], number[others] = np.arange(len(known)), len(known) + np.arange(len(others))
+        return lists, number
+
+    def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their end after each text with a zero in front) of texts without strings of special tokens."""
+        # the tokenizer lower-cases, so ASCII capitals are folded first
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), STOPPED, APART))
+        words = split.values.dictionary_encode()
+        lists, number = self._distinct(words.dictionary)
+        got = lists.take(pa.array(number[words.indices.to_numpy()]))
+        return got.values.to_numpy(), got.offsets.to_numpy()[split.offsets.to_numpy()]
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text of a large_string array without nulls."""
+        special = pa.array(np.zeros(len(texts), bool))
+        for s in self.special:
+            special = pc.or_(special, pc.match_substring(texts, s, ignore_case=True))  # folding would make one
+        whole = set(pc.indices_nonzero(special).to_pylist())
+        ids, ends = self._group(pc.if_else(special, pa.scalar("", texts.type), texts) if whole else texts)
+        raw = memoryview(ids.tobytes())
+        for i, (a, z) in enumerate(pairwise((4 * ends).tolist())):
+            yield np.array(self.model.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes() if i in whole else bytes(raw[a:z])
 
 
 _loaded: dict[str, ChunkTokenizer] = {}
@@ -92,12 +105,11 @@ def load(path: str) -> ChunkTokenizer:
     return _loaded[path]
 
 
-def encode_rows(column, path: str, most: int = 4 << 20) -> Iterator[bytes]:
-    """Ids of a string column, in groups of at most ``most`` bytes of text."""
-    from .common import as_bytes, chunks, spans
-
+def encode_rows(batches: Iterator[pa.RecordBatch], path: str, most: int = GROUP) -> Iterator[tuple[pa.Array, Iterator[bytes]]]:
+    """(first column, ids of the texts in the second) of rows, in groups of about ``most`` bytes of text."""
     model = load(path)
-    offsets, data = spans(as_bytes(column))
-    view = memoryview(data)
-    for lo, hi in chunks(offsets, most):
-        yield from model.encode([bytes(view[offsets[i] : offsets[i + 1]]) for i in range(lo, hi)])
+    for rows in gathered(batches, 1, most):
+        texts = as_bytes(rows.column(1))
+        offsets, _ = spans(texts)
+        for lo, hi in chunks(offsets, most):
+            yield rows.column(0).slice(lo, hi - lo), model.encode(texts.slice(lo, hi - lo).cast(pa.large_string()))

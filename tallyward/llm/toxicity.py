@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
 
 #: Labelled texts that training reads at most, and the longest that it takes.
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
@@ -195,7 +194,6 @@ def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_co
 
 def score(docs: DataFrame, chain: list[Link], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, p_<category> ..., rejected) of every text; rejected: the last category is over its threshold."""
-    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # WORDS a category
     names = [f"p_{x.name}" for x in chain]
 
@@ -213,7 +211,6 @@ def score(docs: DataFrame, chain: list[Link], id_col: str = "doc_id", text_col:
 
 def clean(docs: DataFrame, chain: list[Link], text_col: str = "text") -> DataFrame:
     """The documents that the chain does not reject, all columns as they are."""
-    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     at = docs.columns.index(text_col)
 
