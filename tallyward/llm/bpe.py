@@ -8,37 +8,46 @@ border. Where nothing fits, the last entry is taken back and a shorter one tried
 positions found dead are remembered, so each is left once and time stays linear.
 Compatibility of two adjacent ids is memoised.
 
+Arrow cuts a group of texts at blanks and numbers the distinct chunks; only those are
+encoded, and their ids gathered. Ids are decoded the same way: their bytes are gathered.
+
 Edge cases: null or empty text gives no ids (digests of the empty string); a null id
 column is passed through; rows are independent, so ties, repeats and extra columns
-change nothing; lone surrogates cannot occur in Spark strings; memory beside the
-vocabulary is bounded by the two memos, which are emptied when full.
+change nothing; lone surrogates cannot occur in Spark strings. Memory beside the
+vocabulary: three memos of bounded bytes, of which long chunks take no part, and one
+group of texts with its ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import prepare
+from .common import Memo, as_bytes, chunks, gathered, spans
 
-#: Entries of a memo before it is emptied.
-MEMO = 250_000
-_INNER = re.compile(r" \s")
+#: Pairs of ids whose compatibility is kept, before they are forgotten.
+PAIRS = 250_000
+#: Bytes of text whose chunks are numbered together.
+GROUP = 8 << 20
+#: A blank inside a run of Unicode white space.
+_INNER = r" [\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-class _Memo(dict):
+class _Pairs(dict):
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        if len(self) >= PAIRS:
             self.clear()
         out = self[key] = self.make(key)
         return out
@@ -63,10 +72,11 @@ class Bpe:
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.pair: dict[tuple[int, int], int] = {}
         self.split: list[tuple[int, int]] = [(i, i) for i in range(self.size)]
-        self._fits = _Memo(self._compatible)
-        self._chunk = _Memo(self._encode_chunk)
-        self._piece = _Memo(lambda piece: self.encode_piece(piece.encode()))
-        self.text = _Memo(str).__getitem__
+        self._fits = _Pairs(self._compatible)
+        self.pieces = Memo(lambda missing: [array("i", self.encode_piece(p.encode())).tobytes() for p in missing], 48 << 20)
+        self.chunks = Memo(self._chunks, 48 << 20)
+        self.decoded = pa.array(self.bytes, pa.large_binary())
+        self.decimal = pa.array([b"%d," % i for i in range(self.size)], pa.large_binary())
         automaton = ahocorasick.Automaton()
         for rank, token in enumerate(self.bytes):
             if token and (len(token) == 1 or self._learn(rank, token)):
@@ -148,27 +158,55 @@ class Bpe:
                 left = tried.pop()
         return out
 
-    def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self._piece.__getitem__, self.find(chunk))))
+    def _split(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, each cut by the pattern as a whole."""
+        cut = list(map(self.find, texts))
+        names = list(dict.fromkeys(chain.from_iterable(cut)))
+        ids = dict(zip(names, self.pieces.many(names), strict=True))
+        return [b"".join(map(ids.__getitem__, c)) for c in cut]
+
+    def _chunks(self, missing: list[str]) -> list[bytes]:
+        # most chunks are a blank and more: in a row, the pattern cuts them before each blank
+        row = [c for c in missing if len(c) > 1 and c[0] == " "]
+        cut = self.find("".join(row))
+        names = list(dict.fromkeys(cut))
+        ids = dict(zip(names, self.pieces.many(names), strict=True))
+        starts = [i for i, p in enumerate(cut) if p[0] == " "]
+        parts = list(map(ids.__getitem__, cut))
+        done = dict(zip(row, (parts[a] if z == a + 1 else b"".join(parts[a:z]) for a, z in pairwise([*starts, len(cut)])), strict=True))
+        rest = [c for c in missing if c not in done]
+        done.update(zip(rest, self._split(rest), strict=True))
+        return [done[c] for c in missing]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their end after each text with a zero in front) of a large_string array without nulls."""
+        inner = pc.match_substring_regex(texts, _INNER)
+        whole = pc.indices_nonzero(inner).to_numpy().astype(np.int64)
+        split = pc.split_pattern(pc.if_else(inner, pa.scalar("", texts.type), texts), " ")
+        bounds = split.offsets.to_numpy()
+        # the first chunk of a text has no blank in front, all others have
+        head = np.zeros(len(split.values), bool)
+        head[bounds[:-1]] = True
+        rest = split.values.filter(pa.array(~head)).dictionary_encode()
+        first = split.values.filter(pa.array(head)).dictionary_encode()
+        found = self.chunks.many([" " + x for x in rest.dictionary.to_pylist()])
+        found += self.chunks.many(first.dictionary.to_pylist())
+        found += self._split(texts.take(pa.array(whole)).to_pylist())
+        number = np.empty(len(head), np.int64)
+        number[~head] = rest.indices.to_numpy()
+        number[head] = first.indices.to_numpy() + len(rest.dictionary)
+        number[bounds[whole]] = np.arange(len(found) - len(whole), len(found))
+        begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        got = pa.LargeListArray.from_arrays(pa.array(begin), pa.array(np.frombuffer(b"".join(found), np.int32))).take(pa.array(number))
+        return got.values.to_numpy(), got.offsets.to_numpy()[bounds]
 
     def encode(self, text: str | None) -> list[int]:
-        """Ids of a text. Blanks are cut points, unless one lies inside a run of white space."""
-        if not text:
-            return []
-        if _INNER.search(text):
-            return list(chain.from_iterable(map(self._chunk.__getitem__, self.find(text))))
-        head, *rest = text.split(" ")
-        memo = self._chunk
-        out = list(memo[head]) if head else []
-        out.extend(chain.from_iterable(memo[" " + x] for x in rest))
-        return out
+        """Ids of one text."""
+        return self.encode_column(pa.array([text or ""], pa.large_string()))[0].tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
-    def decimal(self, ids) -> str:
-        return ",".join(map(self.text, ids))
-
 
 _loaded: dict[tuple[str, str], Bpe] = {}
 
@@ -180,15 +218,27 @@ def load(path: str, pattern: str) -> Bpe:
     return _loaded[path, pattern]
 
 
+def _groups(bpe: Bpe, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(first column, ids, ends) of the texts in the second column, in groups of bounded size."""
+    for rows in gathered(batches, 1, GROUP):
+        texts = as_bytes(rows.column(1))
+        for lo, hi in chunks(spans(texts)[0], GROUP):
+            yield rows.column(0).slice(lo, hi - lo), *bpe.encode_column(texts.slice(lo, hi - lo).cast(pa.large_string()))
+
+
+def _joined(of: pa.Array, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, memoryview]:
+    """(ends, bytes) of what ``of`` has for each id."""
+    offsets, data = spans(of.take(pa.array(ids)))
+    return offsets[ends], memoryview(data)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, token_ids array<int>) of every text."""
-    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path, pattern)
-        for b in batches:
-            ids = [bpe.encode(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "token_ids"])
+        for keys, ids, ends in _groups(load(path, pattern), batches):
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([keys, lists], ["id", "token_ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, token_ids array<int>").withColumnRenamed("id", id_col)
@@ -196,12 +246,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
     """(id, decoded binary) of every list of ids; null as empty."""
-    prepare(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for b in batches:
-            out = [bpe.decode(x or ()) for x in b.column(1).to_pylist()]
+            lists = b.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            ends, raw = _joined(bpe.decoded, pc.list_flatten(lists).to_numpy(), np.concatenate([[0], np.cumsum(sizes)]))
+            out = [bytes(raw[a:z]) for a, z in pairwise(ends.tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "decoded"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
@@ -210,19 +262,16 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode and digest in one pass, so that ids never cross into the JVM."""
-    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         sha = hashlib.sha256
-        for b in batches:
-            n, a, d = [], [], []
-            for text in b.column(1):
-                ids = bpe.encode(text.as_py())
-                n.append(len(ids))
-                a.append(sha(bpe.decimal(ids).encode()).hexdigest())
-                d.append(sha(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for keys, ids, ends in _groups(bpe, batches):
+            at, raw = _joined(bpe.decimal, ids, ends)
+            listed = [sha(raw[a : max(a, z - 1)]).hexdigest() for a, z in pairwise(at.tolist())]  # without the last comma
+            at, raw = _joined(bpe.decoded, ids, ends)
+            decoded = [sha(raw[a:z]).hexdigest() for a, z in pairwise(at.tolist())]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(ends)), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
