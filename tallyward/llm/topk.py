@@ -1,12 +1,12 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Vectors are quantised to integers, floor(scale * x). Candidates are packed in blocks
-that hold, for each dimension (a term), a posting of rows and integer weights; queries
-are packed in blocks of sparse rows. For every pair of blocks each query's non-zero
-terms scatter ``query weight * posting weight`` into one dense array of scores, from
-which partition selection takes the best k, ties to the smaller id; the partial lists
-of a query are then merged. Blocks meet through an equi-join on their numbers, so
-neither side is broadcast and no task holds more than one block of each side.
+Vectors are quantised to integers, floor(scale * x). Candidates are dealt once, to blocks
+of a bounded number of rows, and each block goes to one task, which holds it as postings:
+for each dimension (a term) the rows and their integer weights. The queries stream past
+it: each query's non-zero terms scatter ``query weight * posting weight`` into a dense
+array of scores, from which partition selection takes the best k, ties to the smaller
+id; the partial lists of a query are then merged. Candidates cross the network once and
+queries once for each block; neither side is broadcast or collected.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take no
 part, nor do rows with a null id. Vectors of different length share their common
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Rows of a candidate block and of a query block.
-CANDIDATES, QUERIES = 8192, 512
+#: Candidates of a block, which one task holds, and of a part of it that is scored at once.
+CANDIDATES, PART = 32_768, 8192
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -41,19 +41,12 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(scale))).alias("w"))
 
 
-def _blocks(rows: DataFrame, size: int, count: int) -> DataFrame:
-    """One row per block: number, ids and vectors. Blocks are dealt by a hash, so they are even."""
-    n = max(1, math.ceil(count / size))
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    return numbered.groupBy("block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("w").alias("ws"))
-
-
-def _dense(ws: pa.ListScalar) -> np.ndarray:
-    rows = ws.values
+def _dense(rows: pa.ListArray) -> np.ndarray:
+    """Rows as a matrix, short ones filled up with zeros."""
     width = np.diff(rows.offsets.to_numpy())
     out = np.zeros((len(width), int(width.max(initial=0))), np.int64)
     flat = rows.flatten().to_numpy(zero_copy_only=False)
-    out[np.repeat(np.arange(len(width)), width), np.concatenate([np.arange(w) for w in width]) if len(width) else []] = flat
+    out[np.repeat(np.arange(len(width)), width), np.arange(len(flat)) - np.repeat(np.cumsum(width) - width, width)] = flat
     return out
 
 
@@ -67,53 +60,73 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def accumulate(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, candidate ids, scores) over one pair of blocks, term at a time."""
-    terms = min(q.shape[1], c.shape[1])
-    postings = []
-    for t in range(terms):
-        at = np.flatnonzero(c[:, t])
-        postings.append((slice(None) if len(at) == len(c) else at, np.ascontiguousarray(c[at, t])))
-    scores = np.zeros(len(c_ids), np.int64)
-    for row, own in zip(q, q_ids.tolist(), strict=True):
+class Postings:
+    """Candidates by term."""
+
+    def __init__(self, ids: np.ndarray, weights: np.ndarray):
+        self.ids, self.terms = ids, []
+        for t in range(weights.shape[1]):
+            at = np.flatnonzero(weights[:, t])
+            self.terms.append((slice(None) if len(at) == len(ids) else at, np.ascontiguousarray(weights[at, t])))
+        self.scores = np.zeros(len(ids), np.int64)
+
+    def best(self, own: int, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best k for a query, term at a time, without rows of its own id."""
+        scores = self.scores
         scores[:] = 0
-        for t in np.flatnonzero(row[:terms]).tolist():
-            at, weight = postings[t]
+        for t in np.flatnonzero(row[: len(self.terms)]).tolist():
+            at, weight = self.terms[t]
             scores[at] += row[t] * weight
-        other = np.flatnonzero(c_ids != own)
-        if len(other) == len(c_ids):
-            best = _best(scores, c_ids, k)
-        else:
-            best = other[_best(scores[other], c_ids[other], k)]
-        yield own, c_ids[best], scores[best]
+        ids, found = self.ids, scores
+        if (ids == own).any():
+            other = np.flatnonzero(ids != own)
+            ids, found = ids[other], scores[other]
+        at = _best(found, ids, k)
+        return ids[at], found[at]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block: int = CANDIDATES) -> DataFrame:
     """(query_id, rank, vec_id, score) of each row of ``queries`` against all of ``vectors``."""
-    c = quantised(vectors, id_col, vector_col, scale)
+    c = written(quantised(vectors, id_col, vector_col, scale), "candidates")
     q = quantised(queries, id_col, vector_col, scale)
-    n_c, n_q = vectors.count(), queries.count()
-    c_blocks = written(_blocks(c, CANDIDATES, n_c), "candidates")
-    q_blocks = _blocks(q, QUERIES, n_q).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("ws").alias("q_ws"))
-    q_count, c_count = (max(1, math.ceil(n / size)) for n, size in ((n_q, QUERIES), (n_c, CANDIDATES)))
-    # both sides name the pair, so that pairs are dealt evenly
-    left = c_blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_count - 1))))
-    right = q_blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(c_count - 1))))
-    pairs = left.join(right, ["q_block", "block"])
+    blocks = max(1, math.ceil(c.count() / block))
+    # numbers of the rows of a written table stay the same when a task runs again; they deal rows that repeat an id evenly
+    dealt = c.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    sent = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = dealt.withColumn("query", F.lit(False)).unionByName(sent.withColumn("query", F.lit(True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, parts = -1, [], []
         for b in batches:
-            for q_ids, q_ws, c_ids, c_ws in zip(*(b.column(i) for i in range(4)), strict=True):
+            number = b.column("block").to_numpy()
+            asks = b.column("query").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(number) != 0) | (asks[1:] != asks[:-1])) + 1).tolist(), len(b)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                if number[lo] != now:
+                    now, held, parts = number[lo], [], []
+                ids, w = b.column("vec_id").slice(lo, hi - lo).to_numpy(), _dense(b.column("w").slice(lo, hi - lo))
+                if not asks[lo]:
+                    held.append((ids, w))
+                    continue
+                for c_ids, c_w in held:  # all candidates of a block come before its queries
+                    parts += [Postings(c_ids[i : i + PART], c_w[i : i + PART]) for i in range(0, len(c_ids), PART)]
+                held = []
                 out: list[list[np.ndarray]] = [[], [], []]
-                for own, ids, scores in accumulate(q_ids.values.to_numpy(), _dense(q_ws), c_ids.values.to_numpy(), _dense(c_ws), k):
-                    for to, x in zip(out, (np.full(len(ids), own, np.int64), ids, scores), strict=True):
+                for own, row in zip(ids.tolist(), w, strict=True):
+                    found = [p.best(own, row, k) for p in parts]
+                    if not found:
+                        continue
+                    c_ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+                    at = _best(scores, c_ids, k)
+                    for to, x in zip(out, (np.full(len(at), own, np.int64), c_ids[at], scores[at]), strict=True):
                         to.append(x)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
 
-    # rows of a block pair are large: one to an Arrow batch, each pair a row
-    c.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    partial = pairs.select("q_ids", "q_ws", "ids", "ws").mapInArrow(run, "query_id long, vec_id long, score long")
+    met = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "query")
+    partial = met.select("block", "query", "vec_id", "w").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
