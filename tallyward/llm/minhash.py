@@ -3,46 +3,55 @@
 A document's set: distinct runs of five words (A-Z in lower case); with fewer words, the
 whole sequence as one. Documents are linked where 100 * intersection >= 85 * union.
 
-1. Each text gives its set's size, a digest of the set and a signature of 256 minima.
-   Equal sets are one class from here on; a class is named by its digest.
-2. The forest: 16 orders of the signature's places. Classes that agree on the first four
-   places of an order form a region, however many they are. A region of more than
-   ``BLOCKS * REGION`` classes is cut in blocks of about that many, and each two of its
-   blocks form a bucket, so every pair of a region meets and memory stays bounded; the
-   work in such a region grows with the square of its classes.
-3. Inside a bucket signatures are compared all with all, but only a maximal spanning
-   forest of the likeness over the threshold is put out: with each class its nearest
-   neighbour in the bucket, at most one pair a class.
-4. Pairs are confirmed on the full sets, and the links give components.
-5. What the forest left out: pairs of a region whose likeness is over the threshold
-   although their components differ. All of them are confirmed as well, so no pair
-   found by the forest goes without a verdict unless it is in one component already.
-
-The threshold on estimated likeness lies 4.4 standard deviations below 0.85, and two
-classes of likeness 0.85 miss each other in all 16 orders with probability 7e-6.
+1. Each text gives its set's size, a 128-bit digest of the set and a signature of 256
+   minima. Equal sets are one class from here on.
+2. The forest: 16 orders of the signature's places. Each order is sorted as a whole (by
+   ranges, so a large region is many tasks), and every class is paired with those that
+   follow next, down to a common prefix of ``DEPTH`` places. Where classes are few the
+   prefix is short; in a dense region the ``WINDOW`` nearest share long ones: so the depth
+   adapts to the region and candidates stay in proportion to classes. Of its candidates a
+   class keeps the ``PARTNERS`` that share the longest prefixes over all orders.
+3. Pairs are confirmed on the full sets, and the links give components.
+4. What the windows left out: regions, classes that agree on the first ``DEPTH`` places of
+   an order, whose classes are not all in one component. All pairs across components there
+   are compared by signature, in blocks that meet in pairs, and those over the threshold
+   on their full sets, inside the block. Only links that join components are put out, and
+   the components are contracted by them. So no pair of a region goes without a verdict
+   unless it is in one component already, and no window is a cap.
+
+Work of step 4 grows with the square of a region of many components only (documents of
+one template that are no copies of each other); shuffled rows stay in proportion to
+classes times blocks. The threshold on estimated likeness lies 4.4 standard deviations
+below 0.85, and two classes of likeness 0.85 have no region in common with probability
+(1 - 0.85^4)^16 = 7e-6.
 
 Edge cases: null or empty texts and texts without words have an empty set, are linked
 with nothing and are kept; a row with a null id is kept and has no component id; rows
-that share an id are judged each on its own text; ties go to the smallest id.
+that share an id are judged each on its own text; ties go to the smallest id; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, chunks, mix, prepare, runs, spans, words, written
+from .common import U64, as_bytes, chunks, mix, runs, spans, words, written
 from .components import connected
 
-#: Words of a shingle; minima of a signature; orders of the forest; places that a region agrees on.
-SHINGLE, PLACES, ORDERS, DEPTH = 5, 256, 16, 4
-#: Classes of a region that are compared at once are BLOCKS * REGION, or two blocks of as many.
-REGION, BLOCKS = 1024, 4
+#: Words of a shingle; minima of a signature; orders of the forest; places of a sorted key; places that a region agrees on.
+SHINGLE, PLACES, ORDERS, KEY, DEPTH = 5, 256, 16, 16, 4
+#: Classes that follow in an order and are candidates; candidates that a class keeps.
+WINDOW, PARTNERS = 3, 4
+#: Classes of a block.
+BLOCK = 1024
 #: Places (of 256) on which two signatures agree at least, to be confirmed.
 AGREE = 193
 #: A link: NUMERATOR * union <= 100 * intersection.
@@ -71,8 +80,8 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def class_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -91,158 +100,182 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, cls, sig) of every row (doc_id, text), and its other columns."""
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    names = ["doc_id", "n_shingles", "cls", "sig", *(f.name for f in others)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            offsets, data = spans(as_bytes(b.column(1)))
+            offsets, data = spans(as_bytes(b.column("text")))
             for lo, hi in chunks(offsets):
                 sets = shingle_sets(offsets[lo : hi + 1], data)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 sig = signatures([sets[i] for i in some])
-                cls: list[int | None] = [None] * len(sets)
+                cls: list[bytes | None] = [None] * len(sets)
                 sigs: list[bytes | None] = [None] * len(sets)
                 for i, x in zip(some, sig, strict=True):
                     cls[i], sigs[i] = class_of(sets[i]), x.tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
+                more = [b.column(f.name).slice(lo, hi - lo) for f in others]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(sigs, pa.binary()), *more], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, sig binary")
+    return docs.mapInArrow(run, ", ".join(["doc_id long, n_shingles long, cls binary, sig binary", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others)]))
 
 
-def regions(reps: DataFrame, most: int = REGION) -> DataFrame:
-    """(bucket, cls, order): the regions of the forest with two classes or more, large ones in pairs of blocks."""
-    keys = F.array(*[F.concat(*[F.substring("sig", p + 1, 1) for p in _ORDER[t][:DEPTH]]) for t in range(ORDERS)])
-    rows = reps.select("cls", F.posexplode(keys).alias("order", "key"))
-    counts = rows.groupBy("order", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / (BLOCKS * most)).cast("int")
-    cut = rows.join(counts, ["order", "key"]).select("cls", "order", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("own"))
-    # the other block of each bucket; a region of one block is a bucket by itself
-    others = F.when(F.col("blocks") == 1, F.array("own")).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
-    met = cut.withColumn("other", F.explode(others))
-    return met.select(F.xxhash64("order", "key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "cls", "order")
+def _key(order: int, places: int) -> Column:
+    return F.concat(*[F.substring("sig", p + 1, 1) for p in _ORDER[order][:places]])
 
 
-def spanning(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """A maximal spanning forest over agreements of at least ``least`` places."""
-    n = len(sig)
-    out = []
-    best, parent = np.full(n, -1, np.int32), np.zeros(n, np.int64)
-    outside = np.ones(n, bool)
-    at = 0
-    for _ in range(n):
-        outside[at] = False
-        same = np.count_nonzero(sig == sig[at], axis=1)
-        better = same > best
-        best[better], parent[better] = same[better], at
-        left = np.flatnonzero(outside)
-        if not len(left):
-            break
-        at = int(left[best[left].argmax()])
-        if best[at] >= least:
-            out.append((int(parent[at]), at))
-    return out
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Equally long binaries as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, classes, signatures, bounds) of several whole buckets at a time; input sorted by bucket."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def neighbours(batches: Iterator[pa.RecordBatch], window: int = WINDOW, depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
+    """(a, b, prefix) of classes and those that follow next in a sorted order (order, key, node)."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        t = batch if held is None else pa.concat_batches([held, batch])
+        order, node, key = t.column(0).to_numpy(), t.column(2).to_numpy(), _matrix(t.column(1))
+        new = 0 if held is None else len(held)
+        out: list[list[np.ndarray]] = [[], [], []]
+        for step in range(1, min(window, len(t) - 1) + 1):
+            at = np.arange(max(new - step, 0), len(t) - step)  # the later of the two is a new row
+            at = at[(order[at] == order[at + step]) & (key[at, :depth] == key[at + step, :depth]).all(axis=1)]
+            differ = key[at] != key[at + step]
+            prefix = np.where(differ.any(axis=1), differ.argmax(axis=1), key.shape[1])
+            x, y = node[at], node[at + step]
+            for to, v in zip(out, (np.minimum(x, y), np.maximum(x, y), prefix), strict=True):
+                to.append(v)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], ["a", "b", "prefix"])
+        held = t.slice(max(len(t) - window, 0))
+
+
+def candidates(classes: DataFrame, window: int = WINDOW, partners: int = PARTNERS) -> DataFrame:
+    """(a, b): for each class the partners of the longest prefixes over all orders."""
+    keys = F.array(*[_key(t, KEY) for t in range(ORDERS)])
+    rows = classes.select(F.posexplode(keys).alias("order", "key"), "node")
+    ranged = rows.repartitionByRange("order", "key", "node").sortWithinPartitions("order", "key", "node")
+    pairs = ranged.mapInArrow(partial(neighbours, window=window), "a long, b long, prefix long").groupBy("a", "b").agg(F.sum("prefix").alias("s"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"), "s")
+    # 2 * window * orders of them at most
+    best = both.groupBy("e.node").agg(F.sort_array(F.collect_list(F.struct("s", "e.other")), asc=False).alias("best"))
+    kept = best.select("node", F.explode(F.slice("best", 1, partners)).alias("x")).select("node", F.col("x.other").alias("other"))
+    return kept.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def regions(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(bucket, node, order, label): regions of several components, large ones in pairs of blocks."""
+    keys = F.array(*[_key(t, DEPTH) for t in range(ORDERS)])
+    rows = labelled.select("node", "label", F.posexplode(keys).alias("order", "key"))
+    mixed = rows.groupBy("order", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    cut = rows.join(mixed, ["order", "key"]).select("node", "label", "order", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    # the other block of each bucket; a region of one block is a bucket by itself
+    others = F.when(F.col("blocks") == 1, F.array("own")).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
+    met = cut.withColumn("other", F.explode(others))
+    return met.select(F.xxhash64("order", "key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "order", "label")
 
-    def whole(t: pa.Table) -> tuple:
-        bucket = t.column("bucket").to_numpy()
-        bounds = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-        return t, t.column("cls").to_numpy(), _matrix(t, "sig"), bounds
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each bucket; input sorted by bucket."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        held.append(b)
-        size += len(b)
-        if size >= 8192:
-            t = pa.Table.from_batches(held)
-            bucket = t.column("bucket").to_numpy()
-            cut = int(np.searchsorted(bucket, bucket[-1]))
-            if cut:
-                yield whole(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
-            size = len(t) - cut
-    if size:
-        yield whole(pa.Table.from_batches(held))
-
-
-def _matrix(t: pa.Table, column: str) -> np.ndarray:
-    """Equally long binaries as rows of bytes."""
-    return np.frombuffer(b"".join(t.column(column).to_pylist()), np.uint8).reshape(len(t), -1)
-
-
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, cls, sig, bounds in _buckets(batches):
+        bucket = b.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(b)]
+        for lo, hi in pairwise(cuts):
+            if held and held[0].column("bucket")[0].as_py() != bucket[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _apart(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a bucket with those after it that are over the threshold and of another label, in the first order in which both share a region."""
+    label, order, sig = t.column("label").to_numpy(), t.column("order").to_numpy(), _matrix(t.column("sig"))
+    if (label == label[0]).all():
+        return
+    for i in range(len(t) - 1):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if len(other):
+            other = other[np.count_nonzero(sig[other] == sig[i], axis=1) >= AGREE]
+        for earlier in range(order[i]):
+            if not len(other):
+                break
+            places = _ORDER[earlier][:DEPTH]
+            other = other[(sig[other][:, places] != sig[i, places]).any(axis=1)]
+        if len(other):
+            yield i, other
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, node) of the classes with a pair to confirm."""
+    for t in _buckets(batches):
+        some = np.zeros(len(t), bool)
+        for i, other in _apart(t):
+            some[i] = some[other] = True
+        if some.any():
+            yield t.select(["bucket", "node"]).filter(pa.array(some)).combine_chunks().to_batches()[0]
+
+
+def linked(p: np.ndarray, q: np.ndarray) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= NUMERATOR * (len(p) + len(q) - both)
+
+
+def _set_of(text: bytes) -> np.ndarray:
+    return shingle_sets(np.array([0, len(text)]), np.frombuffer(text, np.uint8))[0]
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): labels that a confirmed pair of a bucket joins."""
+    for t in _buckets(batches):
+        bodies, label = t.column("body"), t.column("label").to_pylist()
+        sets: dict[int, np.ndarray] = {}
+        leader = {x: x for x in label}
         a, b = [], []
-        # buckets of two, which most are, in one go
-        two = bounds[:-1][np.diff(bounds) == 2]
-        near = two[np.count_nonzero(sig[two] == sig[two + 1], axis=1) >= AGREE]
-        a.append(cls[near])
-        b.append(cls[near + 1])
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if hi - lo > 2 and (pairs := spanning(sig[lo:hi], AGREE)):
-                x, y = np.array(pairs).T + lo
-                a.append(cls[x])
-                b.append(cls[y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs over the threshold whose labels differ, each from the first order in which the two share a bucket."""
-    for t, cls, sig, bounds in _buckets(batches):
-        label, order = t.column("label").to_numpy(), t.column("order").to_numpy()
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if (label[lo:hi] == label[lo]).all():
-                continue
-            for i in range(lo, hi - 1):
-                other = np.flatnonzero(label[i + 1 : hi] != label[i]) + i + 1
-                if len(other):
-                    other = other[np.count_nonzero(sig[other] == sig[i], axis=1) >= AGREE]
-                for earlier in range(order[i]):
-                    if not len(other):
-                        break
-                    places = _ORDER[earlier][:DEPTH]
-                    other = other[(sig[other][:, places] != sig[i, places]).any(axis=1)]
-                if len(other):
-                    a.append(np.full(len(other), cls[i]))
-                    b.append(cls[other])
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        def top(x: int, leader: dict[int, int] = leader) -> int:
+            while leader[x] != x:
+                leader[x] = x = leader[leader[x]]
+            return x
+
+        for i, other in _apart(t):
+            for j in other.tolist():
+                x, y = top(label[i]), top(label[j])
+                if x == y:
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = _set_of(bodies[k].as_py())
+                if linked(sets[i], sets[j]):
+                    leader[x] = y
+                    a.append(label[i])
+                    b.append(label[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[int, np.ndarray] = {}
-
-    def set_of(cls: int, text: bytes) -> np.ndarray:
-        if cls not in known:
-            if len(known) > 64:
-                known.clear()
-            known[cls] = shingle_sets(np.array([0, len(text)]), np.frombuffer(text, np.uint8))[0]
-        return known[cls]
-
     for batch in batches:
-        a, b = [], []
+        keep = []
         for x, y, tx, ty in zip(*(batch.column(i) for i in range(4)), strict=True):
-            x, y = x.as_py(), y.as_py()
-            p, q = set_of(x, tx.as_buffer().to_pybytes()), set_of(y, ty.as_buffer().to_pybytes())
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            if 100 * both >= NUMERATOR * (len(p) + len(q) - both):
-                a.append(x)
-                b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    ta = texts.select(F.col("cls").alias("a"), F.col("body").alias("ta"))
-    tb = texts.select(F.col("cls").alias("b"), F.col("body").alias("tb"))
-    joined = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    return written(joined.mapInArrow(_confirm, "a long, b long"), "links")
+            both = []
+            for node, text in ((x.as_py(), tx), (y.as_py(), ty)):
+                if node not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    known[node] = _set_of(text.as_buffer().to_pybytes())
+                both.append(known[node])
+            keep.append(linked(*both))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(2)], ["a", "b"])
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, body) of the classes' first documents."""
+    """(node, body) of the classes' first documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,38 +285,47 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for lo, hi in chunks(offsets):
                 keep += [class_of(s) == w for s, w in zip(shingle_sets(offsets[lo : hi + 1], data), want[lo:hi], strict=True)]
             mask = pa.array(keep, pa.bool_())  # another row may have the id, but not the set
-            yield pa.RecordBatch.from_arrays([b.column("cls").filter(mask), column.cast(pa.binary()).filter(mask)], ["cls", "body"])
+            yield pa.RecordBatch.from_arrays([b.column("node").filter(mask), column.cast(pa.binary()).filter(mask)], ["node", "body"])
 
-    return written(docs.join(wanted, "doc_id").select("cls", "text").mapInArrow(run, "cls long, body binary").dropDuplicates(["cls"]), "bodies")
+    found = docs.join(wanted, "doc_id").select("node", "cls", "text").mapInArrow(run, "node long, body binary")
+    return written(found.dropDuplicates(["node"]), "bodies")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, partners: int = PARTNERS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
-    prepare(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return groups(own, window, partners, block).drop("label")
+
+
+def groups(own: DataFrame, window: int = WINDOW, partners: int = PARTNERS, block: int = BLOCK) -> DataFrame:
+    """The same for rows (doc_id, text), with their other columns, and the label of the component (null: empty set, or no id)."""
     sets = written(_sets(own), "sets")
-    classes = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
-    reps = written(classes, "classes")
-    buckets = written(regions(reps.select("cls", "sig"), region), "buckets")
-    signed = buckets.join(reps.select("cls", "sig"), "cls")
-    ordered = signed.repartition("bucket").sortWithinPartitions("bucket", "cls").select("bucket", "cls", "sig")
-    pairs = written(ordered.mapInArrow(_nearest, "a long, b long").distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = nodes.join(reps.select("cls", "doc_id"), "cls").where("doc_id is not null")
-    texts = _bodies(own, wanted)
-    links = _links(pairs, texts)
-    label = connected(links)
-    # pairs that the spanning forests left out, between classes still apart
-    near = nodes.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
-    labelled = signed.join(near, "cls").repartition("bucket").sortWithinPartitions("bucket", "cls").select("bucket", "cls", "order", "sig", "label")
-    more = written(labelled.mapInArrow(_apart, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "apart")
-    if not more.isEmpty():
-        found = _links(more, texts)
+    distinct = sets.where("cls is not null").groupBy("cls", "sig").agg(F.min("doc_id").alias("doc_id"))
+    classes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "classes")
+    pairs = written(candidates(classes.where("doc_id is not null"), window, partners), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = _bodies(own, ends.join(classes.select("node", "cls", "doc_id"), "node"))
+    ta, tb = (texts.select(F.col("node").alias(x), F.col("body").alias(f"t{x}")) for x in "ab")
+    links = written(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long"), "links")
+    label = connected(links).withColumnRenamed("node", "n")
+    known = classes.where("doc_id is not null").join(label, F.col("node") == F.col("n"), "left").drop("n")
+    labelled = written(known.withColumn("label", F.coalesce("label", "node")), "labels")
+    # pairs that the windows left out, between components
+    buckets = written(regions(labelled.select("node", "label", "sig"), block), "regions")
+    signed = buckets.join(labelled.select("node", "sig"), "node")
+    dealt = signed.repartition("bucket").sortWithinPartitions("bucket", "node")
+    left = written(dealt.mapInArrow(_open, "bucket long, node long"), "left")
+    if not left.isEmpty():
+        more = written(left.select("node").distinct().join(labelled.select("node", "cls", "doc_id"), "node"), "more")
+        bodies = _bodies(own, more)
+        full = signed.join(left, ["bucket", "node"]).join(bodies, "node").repartition("bucket").sortWithinPartitions("bucket", "node")
+        found = written(full.select("bucket", "order", "label", "sig", "body").mapInArrow(_joining, "a long, b long"), "joins")
         if not found.isEmpty():
-            label = connected(links.unionByName(found))
-    groups = reps.select("cls", "doc_id").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = groups.join(least, "label").select("cls", "component_id")
-    out = sets.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+            new = connected(found).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            labelled = labelled.join(new, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = labelled.join(least, "label").select("cls", "component_id", "label")
+    out = sets.join(named, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    more = [c for c in sets.columns if c not in ("doc_id", "n_shingles", "cls", "sig")]
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "label", *more)

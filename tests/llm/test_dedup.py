@@ -4,9 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyward.llm import components, minhash, queries, substring
 from tallyward.llm.fmindex import FmIndex
@@ -50,29 +52,29 @@ def near_copies(seed, groups=12, copies=12, words=80):
     return texts
 
 
-@pytest.mark.parametrize("region", [1024, 8])
-def test_near_duplicates(spark, region):
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_duplicates(spark, block):
     texts = near_copies(1) + [None, "", "  \n", "One two", "one TWO", "one  two\tthree", "É a b c d", "é a b c d"]
-    got = rows(minhash.near_duplicates(docs(spark, texts), region=region))
+    got = rows(minhash.near_duplicates(docs(spark, texts), block=block))
     want = brute_groups(dict(enumerate(texts)))
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
 def test_many_equal_and_deep_regions(spark, monkeypatch):
-    # copies beyond a region's size, all alike: cut to the last depth and then in blocks
+    # a chain of copies in regions of many blocks
     base = [f"w{i}" for i in range(400)]
     texts = []
     for i in range(60):
         base[i] = f"x{i}"
         texts.append(" ".join(base))
-    got = rows(minhash.near_duplicates(docs(spark, texts * 2), region=4))
+    got = rows(minhash.near_duplicates(docs(spark, texts * 2), block=4))
     want = brute_groups(dict(enumerate(texts * 2)))
     assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c) in want.items()}
 
 
 def test_star_of_many_variants(spark):
-    # far more variants than a region holds, 0.86 or 0.90 alike to the base, less to each other
+    # far more variants than a class has partners or a block holds, 0.86 or 0.90 alike to the base, less to each other
     rng = random.Random(5)
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base)]
@@ -81,19 +83,53 @@ def test_star_of_many_variants(spark):
         for at in rng.sample(range(5, 195, 10), 2 + k % 2):
             variant[at + rng.randrange(5)] = f"v{k}_{at}"
         texts.append(" ".join(variant))
-    got = minhash.near_duplicates(docs(spark, texts), region=64).groupBy("component_id").count().collect()
+    got = minhash.near_duplicates(docs(spark, texts), block=64).groupBy("component_id").count().collect()
     assert [(r["component_id"], r["count"]) for r in got] == [(0, len(texts))]
 
 
+def test_dense_template(spark):
+    # documents of one template, likeness about 0.7 to 0.95: most pairs are over the estimate, many are no links
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(400):
+        own = list(base)
+        for at in rng.sample(range(0, 300, 6), rng.choice([2, 3, 5, 7])):
+            own[at] = f"v{rng.randint(0, 10**6)}"
+        texts.append(" ".join(own))
+    d = docs(spark, texts)
+    got = rows(minhash.near_duplicates(d, block=64))
+    want = brute_groups(dict(enumerate(texts)))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c) in want.items()}
+    assert 1 < len({c for _, c in want.values()}) < 399
+    classes = minhash.written(minhash._sets(d.select("doc_id", "text")).withColumnRenamed("doc_id", "node"), "classes")
+    pairs = minhash.candidates(classes)
+    assert pairs.count() <= minhash.PARTNERS * len(texts)
+    # each class goes to a region an order, once for every other block
+    labelled = classes.select("node", "sig", F.col("node").alias("label"))
+    most = minhash.regions(labelled, 64).groupBy("node").count().agg(F.max("count")).first()[0]
+    assert most <= minhash.ORDERS * 8
+
+
+def test_windows_of_an_order():
+    key = np.array([[1, 1, 1, 1, 9], [1, 1, 1, 1, 9], [1, 1, 1, 2, 0], [1, 1, 1, 2, 3], [1, 1, 1, 2, 3]], np.uint8)
+    rows_ = [(0, bytes(k), i) for i, k in enumerate(key)] + [(1, bytes(key[-1]), 5)]
+    t = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows_, strict=True)], ["order", "key", "node"])
+    for size in (1, 2, 6):
+        batches = [t.slice(i, size) for i in range(0, 6, size)]
+        got = {tuple(r.values()) for b in minhash.neighbours(iter(batches), window=2, depth=4) for r in b.to_pylist()}
+        assert got == {(0, 1, 5), (2, 3, 4), (2, 4, 4), (3, 4, 5)}
+
+
 def test_blocks_of_a_region_all_meet(spark):
     # one region in every order: each pair of it shares a bucket, and buckets stay small
     rng = np.random.default_rng(3)
     sig = rng.integers(0, 256, minhash.PLACES).astype(np.uint8).tobytes()
     ids = rng.integers(-(2**62), 2**62, 100).tolist()
-    reps = spark.createDataFrame([(i, bytearray(sig)) for i in ids], "cls long, sig binary")
+    reps = spark.createDataFrame([(i, i, bytearray(sig)) for i in ids], "node long, label long, sig binary")
     buckets = {}
     for r in minhash.regions(reps, 2).collect():
-        buckets.setdefault((r["order"], r["bucket"]), set()).add(r["cls"])
+        buckets.setdefault((r["order"], r["bucket"]), set()).add(r["node"])
     for order in range(minhash.ORDERS):
         mine = [b for (o, _), b in buckets.items() if o == order]
         assert {(a, b) for m in mine for a in m for b in m} == {(a, b) for a in ids for b in ids}
