@@ -90,15 +90,14 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 
 @pytest.mark.parametrize("blocks", [(8192, 512), (16, 3)])
 def test_top_k(spark, monkeypatch, blocks):
-    monkeypatch.setattr(topk, "CANDIDATES", blocks[0])
-    monkeypatch.setattr(topk, "QUERIES", blocks[1])
+    monkeypatch.setattr(topk, "PART", blocks[1])
     rng = np.random.default_rng(4)
     v = [[float(x) for x in rng.integers(-3, 4, 8) / 8] for _ in range(120)]
     v[3] = v[50] = v[100]  # ties
     data = [(i, x, 0) for i, x in enumerate(v)] + [(200, None, 0), (250, [None] * 8, 0), (300, [float("nan")] * 8, 0), (350, [float("inf")] * 8, 0), (None, v[0], 0), (50, v[7], 1), (400, [0.5], 0), (450, [], 0)]
     d = spark.createDataFrame(data, VECTORS)
     got = {}
-    for r in topk.top_k(d, d.where("vec_id % 50 = 0")).collect():
+    for r in topk.top_k(d, d.where("vec_id % 50 = 0"), block=blocks[0]).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     good = [(i, np.floor(256 * np.array(x)).astype(int)) for i, x, _ in data if i is not None and x is not None and all(y is not None and np.isfinite(y) for y in x)]
     for q in {i for i, _ in good if i % 50 == 0} - {50}:
@@ -108,6 +107,19 @@ def test_top_k(spark, monkeypatch, blocks):
     assert topk.top_k(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_near_duplicates_row_by_row(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near = a + " end"
+    texts = [(1, a), (2, near), (2, b), (2, b), (None, near), (None, "c d e f g h"), (None, "c d e f g h"), (5, None), (5, None), (6, "")]
+    d = docs(spark, texts).selectExpr("*", "1 AS cls", "2 AS sig", "3 AS label", "4 AS node")
+    kept = corpus_pipeline.drop_near_duplicates(spark, d, SF)
+    assert kept.columns == d.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == sorted([(1, a), (2, b), (-1, "c d e f g h"), (5, ""), (5, ""), (6, "")])
+    assert corpus_pipeline.drop_near_duplicates(spark, d.limit(0), SF).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
