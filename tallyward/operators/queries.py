@@ -13,6 +13,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.text import is_blank, trim_wide, u16_length, word_count, word_set
 from ..sources.catalog import SCHEMA, Tables, parse, tables
 from . import census, diff, engine, rules
@@ -154,7 +155,7 @@ def strict_clients(spark, sf):
 
 
 _VERBS = "CASE WHEN p_size % 3 = 0 THEN 'run_task' WHEN p_size % 3 = 1 THEN 'deleteItem' || p_size ELSE replace(p_name, ' ', '_') END"
-_GENERIC = ", ".join(f"'{w}'" for w in rules.GENERIC)
+_GENERIC = ", ".join(f"'{w}'" for w in fixed.GENERIC_NAMES)
 
 
 @query(f"""

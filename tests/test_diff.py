@@ -191,3 +191,33 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'collision' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q), q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+ENV_LINES = [
+    ("TOKEN=some-token\n", "some-token"),
+    ("TOKEN=some-token # an account\n", "some-token"),
+    ('TOKEN="some-token" # an account\n', "some-token"),
+    ("TOKEN='some-token' # an account\n", "some-token"),
+    ('TOKEN="some#token" # a quoted hash stays\n', "some#token"),
+    ("TOKEN=some-token#comment\n", "some-token"),
+    ('TOKEN="line1\\nline2\\rline3"\n', "line1\nline2\rline3"),
+    ("TOKEN='line1\\nline2'\n", "line1\\nline2"),
+    ("TOKEN=`some#token` # an account\n", "some#token"),
+    ("TOKEN: some-token\n", "some-token"),
+    ("TOKEN:some-token\n", "some-token"),
+    ("TOKEN=some-token\rNOTE=second\r", "some-token"),
+    ("export TOKEN=some-token # exported\n", "some-token"),
+    ("TOKEN='${KEEP}'\n", "${KEEP}"),
+    ("TOKEN=old\nTOKEN=new\n", "new"),
+    ('TOKEN="" # empty on purpose\n', ""),
+    ("\ufeffTOKEN=some-token\r\n", "some-token"),
+    ('TOKEN="some\\"#token" # outside\n', 'some\\"#token'),
+    ('TOKEN="scheme:value=one#two"\n', "scheme:value=one#two"),
+    ("TOKEN='open\nNOTE=x' # y\n", "'open"),
+    ("# TOKEN=x\n=y\nno separator\n", None),
+]
+
+
+@pytest.mark.parametrize(("text", "value"), ENV_LINES)
+def test_env_file(text, value):
+    assert jsontext.env_file(text).get("TOKEN") == value
