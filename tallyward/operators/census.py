@@ -45,7 +45,7 @@ def listing(views: DataFrame) -> DataFrame:
 
 def review_sample(findings: DataFrame, per_rule: int = 8, seed: int = 1) -> DataFrame:
     """Some findings of each rule, chosen by a seeded hash: the same ones every time."""
-    w = Window.partitionBy("rule_id").orderBy(F.xxhash64("target_id", "server_id", "subject_name", "message", F.lit(seed)), "message")
+    w = Window.partitionBy("rule_id").orderBy(F.md5(F.concat_ws("\x1f", F.lit(str(seed)), "target_id", "server_id", "subject_name", "message")), "message")
     return findings.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_rule).drop("_n")
 
 
@@ -57,6 +57,16 @@ def reviewed(labels: DataFrame, review: DataFrame, key: str = "id") -> DataFrame
     return labels.join(review, key)
 
 
+def label_counts(labels: DataFrame, column: str = "label") -> DataFrame:
+    """(label, n): how often each label was given; labels that are missing count as null."""
+    return labels.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def listed_in(catalogs: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Catalogs (target_id, content) with the manifest row (sha1, ...) of the same bytes; none without one."""
+    return catalogs.withColumn("sha1", F.sha1("content")).join(manifest, "sha1")
+
+
 def census_rows(summary: DataFrame, findings: DataFrame, tokens: DataFrame | None) -> DataFrame:
     """One row for each target: what an audit found, ready to be written as JSON lines."""
     found = findings.groupBy("target_id").agg(F.collect_list(F.struct("rule_id", "severity", "subject_name", "message", "detail")).alias("findings"))

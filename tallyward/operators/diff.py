@@ -136,7 +136,9 @@ def field_changes(rows: DataFrame) -> DataFrame:
     return rows.select("server_id", "scope", "identity", "l", "r").mapInPandas(run, schema)
 
 
-def _canonical(df: DataFrame) -> DataFrame:
+def canonical_values(df: DataFrame) -> DataFrame:
+    """Add ``canon``, the canonical JSON of ``value``."""
+
     @F.pandas_udf("string")
     def text(x: pd.Series) -> pd.Series:
         return x.map(lambda t: None if t is None else canonical(read(t)))
@@ -173,7 +175,7 @@ def compare(before: Snapshot, after: Snapshot) -> Comparison:
     for s in (before, after):
         d = s.definitions.select("server_id", "scope", identity(F.col("scope"), F.col("value")).alias("identity"), "value")
         server = s.servers.join(there.where("NOT gap").select("server_id"), "server_id").select("server_id", F.lit("server").alias("scope"), F.col("server_id").alias("identity"), "value")
-        sides.append(_canonical(d.unionByName(server)))
+        sides.append(canonical_values(d.unionByName(server)))
     always = there.select("server_id", F.lit("server").alias("scope"), F.lit(True).alias("comparable"))
     pairs = durable(pair(*(x.where("identity IS NOT NULL") for x in sides), status.select("server_id", "scope", "comparable").unionByName(always)))
     nameless = sides[0].unionByName(sides[1]).where("identity IS NULL")

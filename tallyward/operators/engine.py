@@ -32,20 +32,40 @@ def prepare(tables: Tables, config: Config) -> Context:
     return Context(tables, config, hits, durable(schema_hits(tables)), durable(item_signals(hits, tables.tools)), None if tokens is None else durable(tokens))
 
 
+def _lost(c: Context, rule: Rule, e: Exception) -> DataFrame:
+    """What stands in the place of a rule that did not finish: one finding for each target."""
+    first = c.tables.servers.groupBy("target_id").agg(F.min("server_id").alias("server_id"))
+    null = F.lit(None).cast("string")
+    return first.select("target_id", F.lit(UNCHECKED).alias("rule_id"), F.lit("error").alias("severity"), "server_id", F.lit("server").alias("subject_kind"), F.col("server_id").alias("subject_name"), null.alias("field"), F.lit(f"{rule.id} did not finish ({type(e).__name__}).").alias("message"), null.alias("detail"), F.lit(None).cast("long").alias("item_ord"))
+
+
 def raw_findings(c: Context, rules: list[Rule] = RULES) -> DataFrame:
-    """All findings of all rules. A rule whose plan cannot even be made is reported, and the others go on."""
-    spark = c.tables.tools.sparkSession
-    out = spark.createDataFrame([], FINDING).withColumn("rule_ord", F.lit(0))
+    """All findings of all rules, stored. A rule that does not finish, in its plan or at run time, is reported, and the others go on."""
+    plans: list[tuple[int, Rule, DataFrame]] = []
     for i, rule in enumerate(rules):
         if c.tokens is None and rule.category == "budget":
             continue
         try:
-            found = rule.plan(c, rule)
+            plans.append((i, rule, rule.plan(c, rule)))
         except Exception as e:
-            lost = c.tables.servers.select("target_id", "server_id").dropDuplicates(["target_id"])
-            found = lost.select("target_id", F.lit(UNCHECKED).alias("rule_id"), F.lit("error").alias("severity"), "server_id", F.lit("server").alias("subject_kind"), F.col("server_id").alias("subject_name"), F.lit(None).cast("string").alias("field"), F.lit(f"{rule.id} did not finish ({type(e).__name__}).").alias("message"), F.lit(None).cast("string").alias("detail"), F.lit(None).cast("long").alias("item_ord"))
-        out = out.unionByName(found.withColumn("rule_ord", F.lit(i)))
-    return out
+            plans.append((i, rule, _lost(c, rule, e)))
+
+    def union(found: list[tuple[int, DataFrame]]) -> DataFrame:
+        out = c.tables.tools.sparkSession.createDataFrame([], FINDING).withColumn("rule_ord", F.lit(0))
+        for i, df in found:
+            out = out.unionByName(df.withColumn("rule_ord", F.lit(i)))
+        return out
+
+    try:
+        return durable(union([(i, df) for i, _, df in plans]))
+    except Exception:  # some rule failed in all of them: now each by itself
+        found = []
+        for i, rule, df in plans:
+            try:
+                found.append((i, durable(df)))
+            except Exception as e:
+                found.append((i, _lost(c, rule, e)))
+        return union(found)
 
 
 def graded(findings: DataFrame, config: Config) -> DataFrame:
@@ -105,11 +125,25 @@ def audit(tables: Tables, config: Config | None = None) -> Audit:
     """Run everything over any number of targets."""
     config = config or Config()
     c = prepare(tables, config)
-    raw = durable(raw_findings(c))
+    raw = raw_findings(c)
     findings = graded(raw, config)
     return Audit(findings, summaries(raw, findings, tables, c.tokens), c.tokens, tables)
 
 
+def subjects(findings: DataFrame) -> DataFrame:
+    """(target_id, server_id, subject_kind, subject_name, findings, worst): the worst severity as its rank, 0 for errors."""
+    rank = F.lit(len(WEIGHT))
+    for i, s in enumerate(WEIGHT):
+        rank = F.when(F.col("severity") == s, i).otherwise(rank)
+    return findings.groupBy("target_id", "server_id", "subject_kind", "subject_name").agg(F.count(F.lit(1)).alias("findings"), F.min(rank).alias("worst"))
+
+
+def rules_used(findings: DataFrame) -> DataFrame:
+    """(rule_ord, rule_id, severity) of the rules that found something."""
+    known = findings.sparkSession.createDataFrame([(i, r.id, r.severity) for i, r in enumerate(RULES)], "rule_ord int, rule_id string, severity string")
+    return F.broadcast(known).join(findings.select("rule_id").distinct(), "rule_id", "left_semi")
+
+
 def should_fail(summary: DataFrame, fail_on: str = "error") -> DataFrame:
     """(target_id, failed): an incomplete audit fails at any gate."""
     limit = {"error": F.col("errors"), "warning": F.col("errors") + F.col("warnings"), "info": F.col("errors") + F.col("warnings") + F.col("infos")}[fail_on]

@@ -8,14 +8,15 @@ add the same text to the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import is_blank, trim_wide, u16_length, word_count, word_set
 from ..sources.catalog import SCHEMA, Tables, parse, tables
+from ..sources import pages
+from ..sources.files import table
 from . import census, diff, engine, rules
 from .rules import Config, Context
 from .similarity import durable, similar_sets
@@ -45,8 +46,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+read = table
 
 
 # ------------------------------------------------------------ tables as catalogs
@@ -58,7 +58,7 @@ def _tables(tools: DataFrame, servers: DataFrame | None = None, collection: Data
     empty = tables(spark.createDataFrame([], SCHEMA))
     have = tools.columns
     full = tools.withColumns({c: F.lit(None).cast("string") for c in ("title", "description", "input_schema", "output_schema", "annotations", "raw") if c not in have})
-    full = full.withColumn("target_id", F.lit("t")).withColumn("ord", F.col("ord").cast("long"))
+    full = full.withColumn("target_id", F.col("target_id") if "target_id" in have else F.lit("t")).withColumn("ord", F.col("ord").cast("long"))
     if servers is None:
         servers = full.select("target_id", "server_id").distinct().withColumn("instructions", F.lit(None).cast("string"))
     return Tables(servers, full.select(empty.tools.columns), empty.prompts, empty.resources, collection if collection is not None else empty.collection, empty.definitions)
@@ -218,7 +218,8 @@ p AS (SELECT a.cls AS a, b.cls AS b, CAST(count(*) AS INTEGER) AS inter, CAST(an
 
 def _classes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Documents with their words' digest, and one row for each distinct set, named by its first document."""
-    d = read(spark, sf, "documents").select("doc_id", F.array_sort(word_set(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    # stored: a filter or a second reader would cut the texts again
+    d = durable(read(spark, sf, "documents").select("doc_id", F.array_sort(word_set(F.col("text"))).alias("words"))).where(F.size("words") > 0)
     return d, d.groupBy("words").agg(F.min("doc_id").alias("cls"))
 
 
@@ -251,16 +252,19 @@ def exact_duplicates(spark, sf):
 # ------------------------------------------------------------ budgets and statistics
 
 
-@query("SELECT doc_id, n_chars AS tokens, CASE WHEN n_chars > 1050 THEN 99 WHEN n_chars > 548 THEN 95 WHEN n_chars > 374 THEN 90 WHEN n_chars > 210 THEN 75 WHEN n_chars > 113 THEN 50 END AS percentile FROM documents WHERE n_chars > 400")
-def budget_rows(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("tokens"))
-    return d.where(F.col("tokens") > Config().budget).withColumn("percentile", rules.percentile_exceeded(F.col("tokens")))
-
-
 def _costs(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select(F.col("lang").alias("target_id"), F.col("source").alias("server_id"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("name"), F.when(F.col("doc_id") % 997 != 5, F.col("n_chars")).alias("tokens"))
 
 
+@query("SELECT doc_id, n_chars AS tokens, CASE WHEN n_chars > 1050 THEN 99 WHEN n_chars > 548 THEN 95 ELSE 90 END AS percentile FROM documents WHERE n_chars > 400 AND doc_id % 997 <> 5")
+def budget_rows(spark, sf):
+    t = _costs(spark, sf)
+    c = _context(_tables(t.drop("tokens")), config=Config(percentiles=True))
+    c.tokens = t
+    f = _found(c, "budget/tool-tokens")
+    return f.select(F.col("item_ord").alias("doc_id"), F.col("detail").cast("long").alias("tokens"), F.regexp_extract("message", r"More than (\d+) of", 1).cast("int").alias("percentile"))
+
+
 @query("SELECT lang, CAST(sum(n_chars) AS BIGINT) AS total, min(source) AS server_id FROM documents WHERE doc_id % 997 <> 5 GROUP BY lang HAVING sum(n_chars) > 16000")
 def budget_total(spark, sf):
     t = _costs(spark, sf)
@@ -270,10 +274,23 @@ def budget_total(spark, sf):
     return _found(c, "budget/total-tokens").select(F.col("target_id").alias("lang"), F.col("detail").cast("long").alias("total"), "server_id")
 
 
-@query("SELECT lang, CASE WHEN count(*) FILTER (doc_id % 997 = 5) > 0 THEN NULL ELSE CAST(sum(n_chars) AS BIGINT) END AS total FROM documents GROUP BY lang")
-def total_or_null(spark, sf):
-    """One cost that is not known leaves the total unknown."""
-    return _costs(spark, sf).groupBy(F.col("target_id").alias("lang")).agg(F.when(F.count_if(F.col("tokens").isNull()) == 0, F.sum("tokens")).alias("total"))
+_STATED = f"""
+WITH f AS ({{findings}}), d AS (SELECT lang AS target_id, count(*) AS tools, CASE WHEN count(*) FILTER (doc_id % 997 = 5) = 0 THEN CAST(sum(n_chars) AS BIGINT) END AS total_tokens FROM documents GROUP BY 1),
+s AS (SELECT target_id, CAST(count(*) FILTER (severity = 'error') AS BIGINT) AS errors, CAST(count(*) FILTER (severity = 'warning') AS BIGINT) AS warnings, CAST(count(*) FILTER (severity = 'info') AS BIGINT) AS infos FROM f GROUP BY 1)
+SELECT target_id, tools, total_tokens, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(infos, 0) AS infos, total_tokens IS NOT NULL AS complete,
+ total_tokens IS NULL OR coalesce(errors, 0) > 0 AS fails_on_error, total_tokens IS NULL OR coalesce(errors, 0) + coalesce(warnings, 0) + coalesce(infos, 0) > 0 AS fails_on_info FROM d LEFT JOIN s USING (target_id)
+"""
+
+
+def summary_and_gate(spark, sf):
+    """Counts, a total that one unknown cost leaves unknown, completeness, and two gates."""
+    t = _costs(spark, sf)
+    found = _derived(spark, sf)
+    summary = durable(engine.summaries(found, found, _tables(t.drop("tokens")), t))
+    out = summary.select("target_id", "tools", "total_tokens", "errors", "warnings", "infos", "complete")
+    for gate in ("error", "info"):
+        out = out.join(engine.should_fail(summary, gate).withColumnRenamed("failed", f"fails_on_{gate}"), "target_id")
+    return out
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS name, n_chars AS tokens FROM documents WHERE doc_id % 997 <> 5 ORDER BY n_chars DESC, lang, source, doc_id LIMIT 5")
@@ -309,25 +326,17 @@ def listing(spark, sf):
 
 _FINDINGS = """SELECT CASE WHEN n_chars > 20000 THEN 'safety/x' WHEN n_chars > 1200 THEN 'description/too-long' WHEN n_chars < 400 THEN 'description/too-short' ELSE 'naming/y' END AS rule_id,
  CASE WHEN n_chars > 20000 OR n_chars < 100 THEN 'error' WHEN n_chars > 1200 THEN 'info' ELSE 'warning' END AS severity, lang AS target_id, source AS server_id, 'tool' AS subject_kind,
- CASE WHEN doc_id % 10 = 0 THEN 'nowhere' ELSE 'd' || (doc_id % 200) END AS subject_name, doc_id FROM documents WHERE n_chars > 9000 OR n_chars < 600"""
-
+ CASE WHEN doc_id % 10 = 0 THEN 'nowhere' ELSE 'd' || (doc_id % 200) END AS subject_name, doc_id FROM documents"""
+QUERIES["summary_and_gate"], SQL["summary_and_gate"] = summary_and_gate, _STATED.replace("{findings}", _FINDINGS)
 
-_WHOLE = _FINDINGS.removesuffix(" WHERE n_chars > 9000 OR n_chars < 600")
 
-
-def _derived(spark: SparkSession, sf: str, which: str = "n_chars > 9000 OR n_chars < 600") -> DataFrame:
-    """Findings derived from documents; by default from those that _FINDINGS takes."""
+def _derived(spark: SparkSession, sf: str) -> DataFrame:
+    """A finding derived from every document."""
     n, low = F.col("n_chars"), F.col("n_chars") < 400
     rule = F.when(n > 20000, "safety/x").when(n > 1200, "description/too-long").when(low, "description/too-short").otherwise("naming/y")
     severity = F.when((n > 20000) | (n < 100), "error").when(n > 1200, "info").otherwise("warning")
     name = F.when(F.col("doc_id") % 10 == 0, "nowhere").otherwise(F.concat(F.lit("d"), F.col("doc_id") % 200))
-    d = read(spark, sf, "documents").where(which)
-    return d.select(rule.alias("rule_id"), severity.alias("severity"), F.col("lang").alias("target_id"), F.col("source").alias("server_id"), F.lit("tool").alias("subject_kind"), name.alias("subject_name"), "doc_id")
-
-
-def _derived_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings derived from every document."""
-    return _derived(spark, sf, "true")
+    return read(spark, sf, "documents").select(rule.alias("rule_id"), severity.alias("severity"), F.col("lang").alias("target_id"), F.col("source").alias("server_id"), F.lit("tool").alias("subject_kind"), name.alias("subject_name"), "doc_id")
 
 
 @query(f"""
@@ -340,10 +349,10 @@ s AS (SELECT target_id, sum(w) AS safety FROM w WHERE starts_with(rule_id, 'safe
 SELECT t.target_id, CAST(greatest(0, least(100, floor(coalesce(base, 100) - coalesce(other, 0) - coalesce(safety, 0) + 0.5))) AS INTEGER) AS score
 FROM (SELECT DISTINCT lang AS target_id FROM documents) t LEFT JOIN b USING (target_id) LEFT JOIN o USING (target_id) LEFT JOIN s USING (target_id)
 """)
-def score(spark, sf, derived=_derived):
+def score(spark, sf):
     d = read(spark, sf, "documents")
     items = d.where("doc_id % 10 <> 0").select(F.col("lang").alias("target_id"), F.col("source").alias("server_id"), F.lit("tool").alias("kind"), F.concat(F.lit("d"), F.col("doc_id") % 200).alias("name"))
-    return engine.scores(derived(spark, sf), items, d.select(F.col("lang").alias("target_id")).distinct())
+    return engine.scores(_derived(spark, sf), items, d.select(F.col("lang").alias("target_id")).distinct())
 
 
 _GRADED = f"""SELECT doc_id, rule_id, CASE WHEN rule_id = 'naming/y' THEN 'info' ELSE severity END AS severity FROM ({_FINDINGS})
@@ -351,41 +360,51 @@ WHERE rule_id <> 'description/too-long' AND rule_id <> 'safety/x' AND rule_id ||
 
 
 @query(_GRADED)
-def override_and_ignore(spark, sf, derived=_derived):
+def override_and_ignore(spark, sf):
     config = Config(severities={"naming/y": "info", "description/too-long": "off"}, ignore=["safety/x", "naming/y:d7"])
-    return engine.graded(derived(spark, sf), config).select("doc_id", "rule_id", "severity")
+    return engine.graded(_derived(spark, sf), config).select("doc_id", "rule_id", "severity")
 
 
 @query(f"SELECT rule_id, count(DISTINCT target_id) AS servers, count(*) AS findings, CAST(count(*) FILTER (severity = 'error') AS BIGINT) AS errors FROM ({_FINDINGS}) GROUP BY rule_id")
-def rule_table(spark, sf, derived=_derived):
-    return census.rule_table(derived(spark, sf)).select("rule_id", "servers", "findings", F.coalesce(F.element_at("severities", "error"), F.lit(0).cast("long")).alias("errors"))
+def rule_table(spark, sf):
+    return census.rule_table(_derived(spark, sf)).select("rule_id", "servers", "findings", F.coalesce(F.element_at("severities", "error"), F.lit(0).cast("long")).alias("errors"))
 
 
-@query(f"SELECT server_id, subject_name, count(*) AS n, min(CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS worst FROM ({_FINDINGS}) GROUP BY ALL")
-def subjects(spark, sf, derived=_derived):
-    """Findings by subject with their worst severity."""
-    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return derived(spark, sf).groupBy("server_id", "subject_name").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("worst"))
+@query(f"SELECT target_id, server_id, subject_kind, subject_name, count(*) AS findings, min(CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS worst FROM ({_FINDINGS}) GROUP BY ALL")
+def subjects(spark, sf):
+    return engine.subjects(_derived(spark, sf))
 
 
-@query(f"SELECT DISTINCT r AS rule_id FROM (VALUES ('safety/x'), ('naming/y'), ('schema/z'), ('description/too-long')) v(r) WHERE r IN (SELECT rule_id FROM ({_FINDINGS}))")
-def rules_used(spark, sf, derived=_derived):
-    known = spark.createDataFrame([("safety/x",), ("naming/y",), ("schema/z",), ("description/too-long",)], "rule_id string")
-    return known.join(derived(spark, sf), "rule_id", "left_semi")
+_KNOWN = ", ".join(f"({i}, '{r.id}', '{r.severity}')" for i, r in enumerate(rules.RULES))
 
 
-# the same over the findings of every document
-for _f in (score, override_and_ignore, rule_table, subjects, rules_used):
-    QUERIES[f"{_f.__name__}_all"] = partial(_f, derived=_derived_all)
-    SQL[f"{_f.__name__}_all"] = SQL[_f.__name__].replace(_FINDINGS, _WHOLE)
+@query(f"SELECT o AS rule_ord, r AS rule_id, s AS severity FROM (VALUES {_KNOWN}) v(o, r, s) WHERE r IN (SELECT rule_id FROM ({_FINDINGS}))")
+def rules_used(spark, sf):
+    return engine.rules_used(_derived(spark, sf))
 
 
+@query(f"""
+SELECT rule_id, target_id, server_id, subject_name, message FROM (
+ SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY md5(concat_ws(chr(31), '1', target_id, server_id, subject_name, message)), message) AS n FROM (SELECT *, CAST(doc_id AS VARCHAR) AS message FROM ({_FINDINGS}))) WHERE n <= 8
+""")
 def review_sample(spark, sf):
     """At most eight findings of each rule, by a seeded hash."""
-    return census.review_sample(_derived_all(spark, sf).withColumn("message", F.col("doc_id").cast("string")))
+    found = census.review_sample(_derived(spark, sf).withColumn("message", F.col("doc_id").cast("string")))
+    return found.select("rule_id", "target_id", "server_id", "subject_name", "message")
+
 
+@query("SELECT quality AS label, count(*) AS n FROM labels GROUP BY quality")
+def label_histogram(spark, sf):
+    return census.label_counts(read(spark, sf, "labels"), "quality")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE sha1(text) IN (SELECT sha1(text) FROM documents WHERE doc_id % 3 = 0)")
+def manifest_join(spark, sf):
+    """Catalogs that a manifest lists by the digest of their bytes; every third document is listed."""
+    d = read(spark, sf, "documents")
+    listed = d.where("doc_id % 3 = 0").select(F.sha1("text").alias("sha1")).distinct()
+    return census.listed_in(d.withColumn("content", F.encode("text", "UTF-8")), listed).select("doc_id", "lang")
 
-QUERIES["review_sample"] = review_sample
 
 # ------------------------------------------------------------ texts
 
@@ -415,10 +434,32 @@ def secret_access(spark, sf):
     return f.select(F.col("item_ord").alias("doc_id"), "severity")
 
 
-@query("SELECT doc_id, 'send_email' AS tool FROM documents WHERE doc_id % 9 = 4")
+@query("SELECT doc_id, 'send_email' AS tool, 'mailer' AS owners FROM documents WHERE doc_id % 9 = 4")
 def cross_tool(spark, sf):
-    f = _found(_context(*_hits(spark, sf)), "safety/cross-tool-reference")
-    return f.select(F.col("item_ord").alias("doc_id"), F.col("detail").alias("tool"))
+    t, hits = _hits(spark, sf)
+    other = _tables(spark.createDataFrame([("mailer", 0, "send_email")], "server_id string, ord long, name string"))
+    t.tools = t.tools.unionByName(other.tools)
+    f = _found(_context(t, hits), "safety/cross-tool-reference")
+    return f.select(F.col("item_ord").alias("doc_id"), F.col("detail").alias("tool"), F.regexp_extract("message", r" of (.*)\.\z", 1).alias("owners"))
+
+
+# tag characters that spell "hi", two selectors that spell "hi", a flag (harmless), eleven payload runs
+_TAGGED = "\U000e0068\U000e0069"
+_SELECTED = "".join(chr(0xE0100 + ord(c) - 16) for c in "hi")
+_FLAG = "\U0001f3f4" + "".join(chr(0xE0000 + ord(c)) for c in "gbsct") + "\U000e007f"
+_PAYLOADS = f"CASE doc_id % 4 WHEN 0 THEN text || '{_TAGGED}' WHEN 1 THEN text || '{_SELECTED}' WHEN 2 THEN text || '{_FLAG}' ELSE text || repeat('{_TAGGED}.', 12) END"
+
+
+@query("""
+SELECT doc_id, 'tag-characters' AS kind, 'hi' AS decoded, 2 AS n, CASE doc_id % 4 WHEN 0 THEN 1 ELSE 10 END AS findings FROM documents WHERE doc_id % 4 IN (0, 3)
+UNION ALL SELECT doc_id, 'variation-selectors', 'hi', 2, 1 FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT doc_id, 'tag-characters', 'further runs after the first 10', 4, 1 FROM documents WHERE doc_id % 4 = 3
+""")
+def hidden_payloads(spark, sf):
+    t = _docs(spark, sf, _PAYLOADS)
+    f = _found(_context(t, durable(rules.text_hits(t))), "safety/hidden-unicode").where("field = 'description'")
+    rows = f.select(F.col("item_ord").alias("doc_id"), F.regexp_extract("message", r"\((.*?)\)", 1).alias("kind"), F.col("detail").alias("decoded"), F.regexp_extract("message", r"(\d+)\.\z", 1).cast("int").alias("n"))
+    return rows.groupBy("doc_id", "kind", "decoded", "n").agg(F.count(F.lit(1)).cast("int").alias("findings"))
 
 
 @query("SELECT doc_id, 'http://203.0.113.' || (doc_id % 250) || '/a' AS found FROM documents WHERE doc_id % 9 = 5 UNION ALL SELECT doc_id, repeat('QUJD', 15) || '...' FROM documents WHERE doc_id % 9 = 7")
@@ -475,10 +516,61 @@ def schema_rules(spark, sf):
     return by.agg(bare.alias("bare"), has("schema/enum-type").alias("conflict"), has("loose").alias("loose"))
 
 
-@query("SELECT event_id, 'k' AS name, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
-def json_explode(spark, sf):
-    e = read(spark, sf, "events").select("event_id", F.explode(F.from_json("props", "map<string,long>")).alias("name", "value"))
-    return e.where("value IS NOT NULL")
+@query("SELECT event_id, 'props.k (name)' AS field, 'k' AS text FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def json_strings(spark, sf):
+    return rules.schema_strings(read(spark, sf, "events").select("event_id", "props"), "props", "props").drop("field_ord")
+
+
+_LIST = """concat('["', replace(p_name, ' ', '","'), '",{"k":"', p_type, '"}]')"""
+
+
+@query("""
+WITH t AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS a, p_type FROM part),
+f AS (SELECT id, unnest(range(len(a))) AS i, unnest(a) AS text, 'n[' || unnest(range(len(a))) || ']' AS field FROM t
+ UNION ALL SELECT id, len(a), 'k', 'n[' || len(a) || '].k (name)' FROM t UNION ALL SELECT id, len(a) + 1, p_type, 'n[' || len(a) || '].k' FROM t),
+r AS (SELECT *, sum(length(text)) OVER (PARTITION BY id ORDER BY i) - length(text) AS used FROM f)
+SELECT id, CAST(i AS INTEGER) AS field_ord, field, substring(text, 1, CAST(20 - used AS BIGINT)) AS text FROM r WHERE used < 20
+""")
+def running_budget(spark, sf):
+    """Strings up to a running limit of text; the one that crosses it is cut."""
+    rows = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr(_LIST).alias("json"))
+    return rules.schema_strings(rows, "json", "n", 20)
+
+
+@query("""
+SELECT p_brand AS server_id, CAST(count(*) FILTER (p_size % 2 = 1) AS INTEGER) AS loose, CAST(count(*) AS INTEGER) AS tools, array_to_string((list(p_name ORDER BY p_partkey) FILTER (p_size % 2 = 1))[1:5], ', ') AS shown
+FROM part GROUP BY p_brand HAVING count(*) FILTER (p_size % 2 = 1) > 0
+""")
+def portability_notes(spark, sf):
+    """How many tools of a server allow other properties, and the first five."""
+    t = _tables(read(spark, sf, "part").select(F.col("p_brand").alias("server_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.expr(_SCHEMA).alias("input_schema")))
+    f = _found(_context(t, schema_hits=durable(rules.schema_hits(t))), "schema/portability").where("subject_kind = 'server'")
+    part = lambda n: F.regexp_extract("message", r"(\d+) of (\d+) tools .*: (.*)\.\z", n)
+    return f.select("server_id", part(1).cast("int").alias("loose"), part(2).cast("int").alias("tools"), part(3).alias("shown"))
+
+
+_MANY = """CASE p_partkey % 9
+ WHEN 0 THEN '{"type":"array"}' WHEN 1 THEN '{"type":"object","$schema":"urn:unknown"}' WHEN 2 THEN '{"type":"object","$schema":"https://json-schema.org/draft/2020-12/schema#","properties":{"a":{"$ref":"https://example.com/a.json"}},"additionalProperties":false}'
+ WHEN 3 THEN '{"type":"object","properties":{"a":{"type":"number","description":"Size ' || p_size || '.0 or more","enum":[' || p_size || ',99]},"b":{"description":"any","enum":[' || p_size || ',99]}},"additionalProperties":false}'
+ WHEN 4 THEN '{"type":"object","properties":{"a":{"type":"nothing"}}}' WHEN 5 THEN '{"type":"object","properties":{"a":{"description":"x","minimum":"1"}}}'
+ WHEN 6 THEN '{"type":"object","properties":{"a":{"description":"x","$ref":"#/$defs/none"}}}' WHEN 7 THEN NULL ELSE '{"type":"object","additionalProperties":false}' END"""
+
+
+@query("""
+SELECT p_partkey AS id, v.rule AS rule, v.severity AS severity, v.field AS field FROM part JOIN (VALUES
+ (0, 'schema/invalid', 'error', 'inputSchema'), (1, 'safety/unchecked', 'error', 'inputSchema'), (2, 'safety/unchecked', 'error', 'inputSchema'), (2, 'schema/portability', 'info', 'inputSchema'), (2, 'description/param-missing', 'warning', 'inputSchema'),
+ (3, 'description/enum-unexplained', 'info', 'b'), (4, 'schema/invalid', 'error', 'inputSchema'), (4, 'description/param-missing', 'warning', 'inputSchema'), (5, 'schema/invalid', 'error', 'inputSchema'), (6, 'safety/unchecked', 'error', 'inputSchema'), (7, 'schema/invalid', 'error', 'inputSchema')
+) v(k, rule, severity, field) ON p_partkey % 9 = v.k
+""")
+def schema_verdicts(spark, sf):
+    """Valid, invalid and unchecked schemas, foreign references, explained and unexplained choices, by the rules that report them."""
+    t = _tables(read(spark, sf, "part").select(F.col("p_brand").alias("server_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.expr(_MANY).alias("input_schema")))
+    c = _context(t, durable(rules.text_hits(t)), durable(rules.schema_hits(t)))
+    out = None
+    for r in ("schema/invalid", "safety/unchecked", "schema/portability", "description/param-missing", "description/enum-unexplained"):
+        f = _found(c, r).where("item_ord IS NOT NULL").select(F.col("item_ord").alias("id"), F.col("rule_id").alias("rule"), "severity", "field")
+        out = f if out is None else out.unionByName(f)
+    return out
 
 
 # ------------------------------------------------------------ diff
@@ -516,51 +608,105 @@ def diff_fields(spark, sf):
     return diff.field_changes(rows).select("identity", "pointer", "before", "after")
 
 
-# ------------------------------------------------------------ coverage and order
+@query("SELECT CAST(c_custkey AS VARCHAR) AS identity, '{\"a\":[1,1.5,100],\"b\":{\"x\":null,\"y\":\"' || c_mktsegment || '\"},\"z\":' || c_nationkey || '}' AS canon FROM customer")
+def canonical_json(spark, sf):
+    """One spelling of equal values: sorted keys, no blanks, plain numbers."""
+    value = F.expr("""concat('{"z": ', c_nationkey, '.0, "b": {"y": "', c_mktsegment, '", "x": null}, "a": [1.0, 1.50, 1e2]}')""")
+    return diff.canonical_values(read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("identity"), value.alias("value"))).select("identity", "canon")
 
 
-@query("SELECT source AS server_id, count(*) AS received, CAST(count(*) FILTER (doc_id % 7 = 3) AS BIGINT) AS malformed, min(CASE WHEN doc_id % 7 = 3 THEN doc_id END) AS first FROM documents GROUP BY source")
-def coverage(spark, sf):
-    bad = F.col("doc_id") % 7 == 3
-    return read(spark, sf, "documents").groupBy(F.col("source").alias("server_id")).agg(F.count(F.lit(1)).alias("received"), F.count_if(bad).alias("malformed"), F.min(F.when(bad, F.col("doc_id"))).alias("first"))
+_LEFT = "SELECT p_brand AS server_id, p_partkey AS id, p_size AS v FROM part WHERE p_partkey % 11 <> 0"
+_RIGHT = "SELECT p_brand AS server_id, p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN -1 ELSE p_size END AS v FROM part WHERE p_partkey % 13 <> 0"
 
 
-@query("SELECT conv_id, min(turn) AS turn FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations) WHERE n > 1 GROUP BY conv_id")
-def repeated_cursors(spark, sf):
-    """The first page whose cursor was there before: roles stand for cursors, turns for pages."""
-    w = Window.partitionBy("conv_id", "role").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    c = read(spark, sf, "conversations").withColumn("n", F.count(F.lit(1)).over(w))
-    return c.where("n > 1").groupBy("conv_id").agg(F.min("turn").alias("turn"))
+def _snapshot(spark: SparkSession, sf: str, sql: str) -> diff.Snapshot:
+    rows = read(spark, sf, "part").selectExpr("p_brand AS server_id", "p_partkey AS id", sql)
+    rows = rows.where("v IS NOT NULL")
+    value = F.to_json(F.struct(F.col("id").cast("string").alias("name"), "v"))
+    definitions = rows.select("server_id", F.lit("tools/list").alias("scope"), value.alias("value"))
+    servers = read(spark, sf, "part").select(F.col("p_brand").alias("server_id")).distinct().withColumn("value", F.to_json(F.struct(F.col("server_id").alias("id"))))
+    n = rows.groupBy("server_id").agg(F.count(F.lit(1)).alias("received"))
+    # one brand was not collected whole
+    status = F.when(F.col("server_id") == "Brand#11", "incomplete").otherwise("complete")
+    covered = n.select("server_id", F.lit("tools/list").alias("scope"), status.alias("status"), F.lit(1).cast("long").alias("pages"), "received", F.col("received").alias("retained"), F.lit(None).cast("string").alias("detail"))
+    return diff.Snapshot(servers, covered, definitions)
 
 
-@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations) WHERE n > 300")
-def running_budget(spark, sf):
-    """What is beyond a running limit of text."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, sf, "conversations").withColumn("n", F.sum(F.length("text")).over(w)).where("n > 300").select("conv_id", "turn")
+@query(f"""
+WITH l AS ({_LEFT}), r AS ({_RIGHT})
+SELECT coalesce(l.server_id, r.server_id) AS server_id, CAST(coalesce(l.id, r.id) AS VARCHAR) AS identity, CASE WHEN l.id IS NULL THEN 'added' WHEN r.id IS NULL THEN 'removed' ELSE 'changed' END AS status
+FROM l FULL JOIN r ON l.server_id = r.server_id AND l.id = r.id
+WHERE CASE WHEN l.id IS NULL OR r.id IS NULL THEN coalesce(l.server_id, r.server_id) <> 'Brand#11' ELSE l.v <> r.v END
+""")
+def snapshot_diff(spark, sf):
+    """Two snapshots compared; what a list that is not whole lacks is neither added nor removed."""
+    before = _snapshot(spark, sf, "CASE WHEN p_partkey % 11 <> 0 THEN p_size END AS v")
+    after = _snapshot(spark, sf, "CASE WHEN p_partkey % 13 <> 0 THEN CASE WHEN p_partkey % 7 = 0 THEN -1 ELSE p_size END END AS v")
+    return diff.compare(before, after).changes.select("server_id", "identity", "status")
+
+
+@query("""
+SELECT p_brand AS server_id, 'counts disagree' AS problem FROM part GROUP BY p_brand HAVING count(*) FILTER (p_size = 7) > 0
+UNION ALL SELECT DISTINCT p_brand, 'definition without coverage' FROM part WHERE p_size = 9
+""")
+def snapshot_problems(spark, sf):
+    """Snapshots whose accounting does not add up."""
+    p = read(spark, sf, "part")
+    s = _snapshot(spark, sf, "p_size AS v")
+    short = p.where("p_size = 7").select(F.col("p_brand").alias("server_id")).distinct().withColumn("short", F.lit(1))
+    s.collection = s.collection.withColumn("status", F.lit("complete")).join(short, "server_id", "left").withColumn("received", F.col("received") + F.coalesce("short", F.lit(0))).drop("short")
+    stray = p.where("p_size = 9").select(F.col("p_brand").alias("server_id"), F.lit("prompts/list").alias("scope"), F.lit("{}").alias("value"))
+    s.definitions = s.definitions.unionByName(stray)
+    return diff.problems(s).select("server_id", "problem").distinct()
 
 
-@query("SELECT p_brand AS server_id, array_to_string((list(p_name ORDER BY p_partkey))[1:3], ', ') || CASE WHEN count(*) > 3 THEN ' and ' || (count(*) - 3) || ' more' ELSE '' END AS shown FROM part GROUP BY p_brand")
-def first_names(spark, sf):
-    names = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))["p_name"]
-    more = F.when(F.count(F.lit(1)) > 3, F.concat(F.lit(" and "), F.count(F.lit(1)) - 3, F.lit(" more"))).otherwise("")
-    return read(spark, sf, "part").groupBy(F.col("p_brand").alias("server_id")).agg(F.concat(F.array_join(F.slice(names, 1, 3), ", "), more).alias("shown"))
+# ------------------------------------------------------------ collection
 
+_SAVED = """concat('{"tools":[', CASE WHEN turn % 5 = 3 THEN '7,' ELSE '' END, '{"name":"', role, '_', turn, '"}],"nextCursor":"', role, '"}')"""
 
-@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
-def required_anti(spark, sf):
-    o = read(spark, sf, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("id"))
-    return read(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(o, "id", "left_anti")
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page for each turn: roles are the cursors."""
+    return read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("target_id"), F.lit("s").alias("server_id"), F.lit("tools").alias("key"), F.col("turn").cast("long").alias("page"), F.expr(_SAVED).alias("content"))
+
+
+_AGAIN = "SELECT conv_id, min(turn) AS turn FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations) WHERE n > 1 GROUP BY conv_id"
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS target_id, CAST(turn AS BIGINT) AS page FROM ({_AGAIN})")
+def repeated_cursors(spark, sf):
+    """The first page of a list whose cursor was there before."""
+    ends = pages.page_ends(_pages(spark, sf)).where(F.col("end") == pages.REPEATED)
+    return ends.groupBy("target_id").agg(F.min("page").alias("page"))
+
+
+@query(f"""
+WITH a AS ({_AGAIN}), k AS (SELECT c.conv_id, c.turn FROM conversations c LEFT JOIN a USING (conv_id) WHERE a.turn IS NULL OR c.turn <= a.turn)
+SELECT CAST(conv_id AS VARCHAR) AS target_id, count(*) AS pages, CAST(count(*) + count(*) FILTER (k.turn % 5 = 3) AS BIGINT) AS received, count(*) AS retained, 'incomplete' AS status,
+ CAST(count(*) FILTER (k.turn % 5 = 3) AS BIGINT) AS malformed, bool_or(a.turn IS NOT NULL) AS again FROM k LEFT JOIN a USING (conv_id) GROUP BY conv_id
+""")
+def coverage(spark, sf):
+    """Lists of saved pages: entries received and kept, malformed ones, and why a list is incomplete."""
+    c = tables(durable(pages.parse_pages(_pages(spark, sf)))).collection
+    malformed = F.size(F.regexp_extract_all("detail", F.lit("1 malformed entries"), F.lit(0)))
+    return c.select("target_id", "pages", "received", "retained", "status", malformed.cast("long").alias("malformed"), F.col("detail").contains(pages.REPEATED).alias("again"))
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS target_id, 'tools/list' AS field FROM conversations GROUP BY conv_id")
+def incomplete_lists(spark, sf):
+    """Every list here ends without a last page, which is a finding."""
+    t = tables(durable(pages.parse_pages(_pages(spark, sf))))
+    return _found(_context(t), "collection/incomplete").select("target_id", "field")
 
 
 @query("""
-WITH p AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS a, string_split(p_type, ' ') AS b FROM part)
-SELECT id, CAST(len(list_intersect(a, b)) AS INTEGER) AS both, CAST(len(list_distinct(list_concat(a, b))) AS INTEGER) AS either, CAST(len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS INTEGER) AS only_a FROM p
+SELECT p_partkey AS id, v.scope AS scope FROM part, (VALUES ('tools/list', 0), ('prompts/list', 1), ('resources/list', 2), ('resources/templates/list', 2)) v(scope, k) WHERE p_size % 4 = 3 OR p_size % 4 <> v.k
 """)
-def set_sizes(spark, sf):
-    a, b = F.split("p_name", " "), F.split("p_type", " ")
-    size = lambda c: F.size(c)
-    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), size(F.array_intersect(a, b)).alias("both"), size(F.array_union(a, b)).alias("either"), size(F.array_except(a, b)).alias("only_a"))
+def not_offered(spark, sf):
+    """Lists of capabilities that a server does not name."""
+    named = F.expr("""CASE p_size % 4 WHEN 0 THEN '{"tools":{}}' WHEN 1 THEN '{"prompts":{}}' WHEN 2 THEN '{"resources":{"subscribe":true}}' END""")
+    servers = read(spark, sf, "part").select(F.lit("t").alias("target_id"), F.col("p_partkey").cast("string").alias("server_id"), named.alias("capabilities"))
+    return pages.not_offered(servers).select(F.col("server_id").cast("long").alias("id"), "scope")
 
 
 # ------------------------------------------------------------ whole audits
@@ -573,12 +719,41 @@ def _catalogs(spark: SparkSession, sf: str) -> DataFrame:
     return each.select("target_id", F.lit("file").alias("server_id"), F.encode("content", "UTF-8").alias("content"))
 
 
-@query()
+_AUDITED = """
+t AS (SELECT p_brand AS b, replace(p_name, ' ', '_') AS name, 'p' || (p_size % 3) AS own, list_distinct(list_filter(string_split(lower(p_type), ' '), lambda w: length(w) > 2)) AS w FROM part),
+c AS (SELECT b, list_sort(w) AS w, row_number() OVER (PARTITION BY b ORDER BY list_sort(w)) AS i FROM (SELECT DISTINCT b, list_sort(w) AS w FROM t)),
+l AS (SELECT x.b, x.i AS i, y.i AS j FROM c x JOIN c y ON x.b = y.b AND 4 * (7 + len(list_intersect(x.w, y.w))) >= 3 * (7 + len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))),
+r(b, i, j) AS (SELECT b, i, i FROM c UNION SELECT r.b, r.i, l.j FROM r JOIN l ON l.b = r.b AND l.i = r.j),
+g AS (SELECT t.b, t.name, m.label FROM t JOIN c ON c.b = t.b AND c.w = list_sort(t.w) JOIN (SELECT b, i, min(j) AS label FROM r GROUP BY b, i) m ON m.b = c.b AND m.i = c.i),
+f AS (
+ SELECT b AS target_id, 'description/param-missing' AS rule_id, 'warning' AS severity, name AS subject_name, 'inputSchema' AS field, '1' AS detail FROM t
+ UNION ALL SELECT b, 'description/required-undeclared', 'warning', name, v.r, NULL FROM t, (VALUES ('p0'), ('z')) v(r) WHERE v.r <> own
+ UNION ALL SELECT b, 'naming/collision', 'error', name, NULL, NULL FROM t GROUP BY b, name HAVING count(*) > 1
+ UNION ALL SELECT b, 'schema/enum-type', 'warning', name, 'inputSchema#/properties/q', NULL FROM t
+ UNION ALL SELECT b, 'schema/portability', 'info', 'file', NULL, CAST(count(*) AS VARCHAR) FROM t GROUP BY b
+ UNION ALL SELECT b, 'description/near-duplicate', 'warning', min(name), NULL, CAST(count(*) AS VARCHAR) FROM g GROUP BY b, label HAVING count(DISTINCT name) > 1)
+"""
+
+
+@query(f"WITH RECURSIVE {_AUDITED} SELECT * FROM f")
 def catalog_findings(spark, sf):
     """All rules over a catalog of each brand, from its JSON on."""
-    return engine.audit(tables(durable(parse(_catalogs(spark, sf))))).findings.drop("rule_ord")
+    found = engine.audit(tables(durable(parse(_catalogs(spark, sf))))).findings
+    return found.select("target_id", "rule_id", "severity", "subject_name", "field", "detail")
 
 
-@query("SELECT p_brand AS target_id, count(*) AS tools FROM part GROUP BY p_brand")
+@query(f"""
+WITH RECURSIVE {_AUDITED}, x AS (SELECT *, CASE severity WHEN 'error' THEN 10 WHEN 'warning' THEN 4 ELSE 1 END AS w FROM f),
+k AS (SELECT DISTINCT b AS target_id, name AS subject_name FROM t),
+q AS (SELECT target_id, subject_name, sum(w) AS w FROM x GROUP BY ALL),
+a AS (SELECT k.target_id, avg(greatest(0, 100 - coalesce(w, 0))) AS base FROM k LEFT JOIN q USING (target_id, subject_name) GROUP BY 1),
+o AS (SELECT target_id, sum(w) AS w FROM x WHERE subject_name = 'file' GROUP BY 1),
+n AS (SELECT b AS target_id, count(*) AS tools FROM t GROUP BY 1)
+SELECT n.target_id, tools, CAST((SELECT count(*) FROM f WHERE f.target_id = n.target_id AND severity = 'error') AS BIGINT) AS errors, CAST((SELECT count(*) FROM f WHERE f.target_id = n.target_id AND severity = 'warning') AS BIGINT) AS warnings,
+ CAST((SELECT count(*) FROM f WHERE f.target_id = n.target_id AND severity = 'info') AS BIGINT) AS infos, true AS complete, CAST(greatest(0, least(100, floor(base - o.w + 0.5))) AS INTEGER) AS score
+FROM n JOIN a USING (target_id) JOIN o USING (target_id)
+""")
 def catalog_summary(spark, sf):
-    return engine.audit(tables(durable(parse(_catalogs(spark, sf))))).summary.select("target_id", "tools")
+    """Counts, completeness and score of each catalog."""
+    s = engine.audit(tables(durable(parse(_catalogs(spark, sf))))).summary
+    return s.select("target_id", "tools", "errors", "warnings", "infos", "complete", "score")

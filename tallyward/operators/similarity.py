@@ -1,23 +1,34 @@
 """The two pairwise operators, blocked so that work follows the candidates, not the square.
 
-Sets at Jaccard 3/4 or more share a word of their prefixes, taken rare words first; names
-within two edits share one of three segments, give or take two places. Both are exact.
+Sets at Jaccard 3/4 or more share a word of their prefixes, taken rare words first, at
+places that leave room for enough others after it; names within two edits share one of
+three segments, give or take two places. Both are exact.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of ``spark.checkpoint.dir`` (a local one only where none is set)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    """Written as a table to the folder of ``spark.checkpoint.dir`` and read back: cuts lineage, survives lost executors.
+
+    Without that setting there is a local folder, but only where all of Spark runs on one machine.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def similar_sets(sets: DataFrame, group: list[str]) -> DataFrame:
@@ -28,10 +39,11 @@ def similar_sets(sets: DataFrame, group: list[str]) -> DataFrame:
     frequency = each.groupBy(*group, "word").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy(*group, "cls").orderBy("df", "word")
     prefix = each.join(frequency, [*group, "word"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1)
-    left = prefix.select(*group, "word", F.col("cls").alias("a"), F.col("n").alias("na"))
-    right = prefix.select(*group, "word", F.col("cls").alias("b"), F.col("n").alias("nb"))
+    left, right = (prefix.select(*group, "word", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}")) for x in "ab")
     near = left.join(right, [*group, "word"]).where((F.col("a") < F.col("b")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")))
-    pairs = near.select(*group, "a", "b").distinct()
+    # from the first common word on, at most this many are common; 3/7 of both sizes have to be
+    room = 1 + F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b"))
+    pairs = near.where(7 * room >= 3 * (F.col("na") + F.col("nb"))).select(*group, "a", "b").distinct()
     wa = rows.select(*group, F.col("cls").alias("a"), F.col("words").alias("wa"))
     wb = rows.select(*group, F.col("cls").alias("b"), F.col("words").alias("wb"))
     inter = F.size(F.array_intersect("wa", "wb"))

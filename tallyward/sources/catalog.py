@@ -64,12 +64,12 @@ def _bad_argument(a: Any) -> bool:
     return not isinstance(a, dict) or not isinstance(a.get("name"), str) or ("description" in a and not isinstance(a["description"], str)) or ("required" in a and not isinstance(a["required"], bool))
 
 
-def entries_of(key: str, values: list, base: dict) -> Iterator[dict]:
-    """Rows of one list: the definitions, the items, and its coverage row."""
+def entries_of(key: str, values: list, base: dict, start: int = 0) -> Iterator[dict]:
+    """Rows of one list: the definitions, the items, and its coverage row; numbers count from ``start``."""
     scope, kind = LISTS[key], KIND[key]
     row = base | {"scope": scope}
     malformed, first, unnamed, issues, retained = 0, -1, 0, [], 0
-    for i, raw in enumerate(values[:ITEMS]):
+    for i, raw in enumerate(values[:ITEMS], start):
         yield row | {"what": "definition", "ord": i, "raw": compact(raw)}
         if not isinstance(raw, dict):
             malformed, first = malformed + 1, i if first < 0 else first
