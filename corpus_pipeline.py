@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyward.llm import minhash, packing, secrets, substring, toxicity
 from tallyward.llm.common import written
+from tallyward.sources.files import table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs

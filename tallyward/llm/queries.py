@@ -8,54 +8,52 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import table
 from . import bpe, imatch, langid, minhash, packing, secrets, substring, token_shards, topk, toxicity
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_shards.output_path(spark)
-    return token_shards.write_shards(_table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"))
+    return token_shards.write_shards(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.substring_dedup(_table(spark, sf_dir, "documents"), digest=True)
+    return substring.substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imatch.fingerprints(_table(spark, sf_dir, "documents"))
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(_table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.chain_for(docs, _table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.chain_for(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
+    vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
