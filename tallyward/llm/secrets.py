@@ -60,11 +60,16 @@ def _live(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & varied & ~value.rlike(_PLACEHOLDER)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of a row's id and text: rows that agree on them have the same spans."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col(text_col)))
+
+
 def matches(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
     """(row, repo, owner, kind, start, end, value hash, live) of base spans and candidates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     scans = [_found(text, i, p, g) for i, (p, g, _) in enumerate(BASE.values())] + [_found(text, len(BASE), EXTRA, 0)]
-    found = docs.select(F.monotonically_increasing_id().alias("uid"), F.xxhash64(id_col, text_col).alias("row"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.concat(*scans).alias("m"))
+    found = docs.select(F.monotonically_increasing_id().alias("uid"), row_key(id_col, text_col).alias("row"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.concat(*scans).alias("m"))
     found = found.where(F.size("m") > 0).select("uid", "row", "repo", "owner", F.posexplode("m").alias("at", "m")).select("uid", "row", "repo", "owner", "at", "m.*")
     least = F.element_at(F.array(*[F.lit(n) for _, _, n in BASE.values()], F.lit(0)), F.col("kind") + 1)
     w = Window.partitionBy("uid", "kind").orderBy("at")
@@ -108,7 +113,7 @@ def listed(array: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """One row for every document: counts, digest of the base spans, all spans."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"))
     out = rows.join(spans(docs, id_col, text_col, owner_col, repo_col), "row", "left")
     zero = F.lit(0).cast("long")
     return out.select(
@@ -122,7 +127,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """The documents, with every span replaced by ``MASK``."""
     found = spans(docs, id_col, text_col, owner_col, repo_col).select(F.col("row").alias("_row"), F.col("all").alias("_all"))
-    joined = docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(found, "_row", "left")
+    joined = docs.withColumn("_row", row_key(id_col, text_col)).join(found, "_row", "left")
     text = F.col(text_col)
     begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 

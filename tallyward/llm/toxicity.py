@@ -2,7 +2,7 @@
 
 Each category has a logistic model over the words of a text (in lower case, cut at
 whatever is no letter) and over how they begin, so that inflected forms share a feature;
-those that separate its sample best are kept. Further features are the log-odds
+those that separate its sample best are kept. Further features are the probabilities
 of the categories before it in the chain. For training those come out of folds: a model
 that has not seen the text. So a later model meets in training what it meets later on.
 Ridge-penalised Newton steps in numpy fit the models on a bounded, documented sample of
@@ -48,7 +48,7 @@ def words(text: str) -> set[bytes]:
 
 @dataclass
 class Link:
-    """One category: weights of words and of earlier log-odds."""
+    """One category: weights of words and of earlier probabilities."""
 
     name: str
     weights: dict[bytes, float]
@@ -156,10 +156,11 @@ def train(texts: list[str], labels: list[Sequence[int]], categories: Sequence[st
         for f in range(FOLDS):
             _, odds = _fit(name, features, np.flatnonzero(fold != f), y, before)
             out[fold == f] = odds[fold == f]
+        probability = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
         if link.threshold < 1:
-            link.threshold = _threshold(1 / (1 + np.exp(-np.clip(out, -30, 30))), y)
+            link.threshold = _threshold(probability, y)
         chain.append(link)
-        before = np.column_stack([before, np.clip(out, -6, 6)])
+        before = np.column_stack([before, probability])
     return chain
 
 
@@ -169,7 +170,7 @@ def predict_one(chain: list[Link], text: str) -> list[float]:
     for link in chain:
         z = min(30.0, max(-30.0, link.odds(has, before)))
         out.append(1 / (1 + float(np.exp(-z))))
-        before.append(min(6.0, max(-6.0, z)))
+        before.append(out[-1])
     return out
 
 

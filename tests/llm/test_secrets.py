@@ -77,3 +77,45 @@ def test_token_in_many_documents_of_one_source(spark):
 
 def test_empty(spark):
     assert secrets.scan(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+def plain_spans(rows_):
+    """What the scan has to give, in plain Python: (base, all) of each (owner, repository, text)."""
+    base = {
+        "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
+        "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
+        "hex": (re.compile(r"[0-9a-f]+"), 0, 16),
+    }
+    extra = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+
+    def live(v):
+        return re.search("[0-9]", v) and re.search("[A-Za-z]", v) and len(set(v)) >= 8 and not re.search(r"(?i)example|sample|changeme|placeholder|x{4,}|1234|abcd", v)
+
+    owners, repos, found = {}, {}, []
+    for owner, repo, text in rows_:
+        mine, more = [], []
+        for k, (kind, (p, g, least)) in enumerate(base.items()):
+            mine += [(m.start(), k, m.end(), kind, m[g]) for m in p.finditer(text) if len(m[g]) >= least]
+        more = [(m.start(), 3, m.end(), "owned", m[0]) for m in extra.finditer(text) if live(m[0])]
+        for *_, value in mine + more:
+            owners.setdefault(value, set()).add(owner)
+            repos.setdefault(value, set()).add(repo)
+        found.append((sorted(mine), more))
+    out = []
+    for mine, more in found:
+        more = [x for x in more if len(owners[x[4]]) < 2 and len(repos[x[4]]) < 50 and not any(x[0] < y[2] and y[0] < x[2] for y in mine)]
+        show = lambda xs: ",".join(f"{kind}:{a}:{z}" for a, _, z, kind, _ in sorted(xs))
+        out.append((show(mine), show([*mine, *more])))
+    return out
+
+
+def test_against_plain_python(spark, sf):
+    given = [(r["source"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    mine, both, wide = "Zk3vQ9tLw0RbYx7NhUeP", "pL5mW2sVd8Gf6Jq1TzCy", "aB9cD8eF7gH6iJ5kL4mN"
+    given += [("a", f"é {mine} token = {mine[:15]}"), ("a", f"x {both}"), ("b", f"{both} AKIA{'Q7' * 9}"), ("c", "0123456789abcdef0123 api_key:'aaaa'")]
+    given += [("a", f"run {wide} now {i}") for i in range(60)]
+    d = docs(spark, [t for _, t in given], source=[s for s, _ in given])
+    got = rows(secrets.scan(d))
+    want = plain_spans([(s, i, t) for i, (s, t) in enumerate(given)])
+    assert {i: (hashlib.sha256(b.encode()).hexdigest(), a) for i, (b, a) in enumerate(want)} == {i: (r["base_sha256"], r["spans"]) for i, r in got.items()}
+    assert any("owned" in a for _, a in want)
