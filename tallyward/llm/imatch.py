@@ -2,14 +2,17 @@
 
 Terms are runs of letters and digits in lower case. A term belongs to the lexicon when
 its inverse document frequency, ln(documents / document frequency), lies in a band.
-Frequencies are counted over all documents in 2**18 hashed cells, so the lexicon is a
-bitmap of 4096 longs, whatever the size of the corpus. For each of several randomised
-subsets of the lexicon, of falling density, the document's distinct terms in it are
-sorted and hashed; these hashes are the fingerprint. Likeness of two fingerprints is the
-share of equal hashes among the subsets that either document has terms in.
-
-The next document, in order of id, is found by range: rows go to buckets of consecutive
-ids, the first rows of a bucket also to the one before, so a text is shuffled once.
+Frequencies of terms are counted exactly, over all documents. The lexicon is handed on as
+a filter of ``CELLS`` bits (128 KB), whatever the size of the corpus: every term of the
+band is in it, and one beside the band is taken for one of them with probability of at
+most (terms of the band) / CELLS, the same way in every document. For each of several
+randomised subsets of the lexicon, of falling density, the document's distinct terms in
+it are sorted and hashed; these hashes are the fingerprint. Likeness of two fingerprints
+is the share of equal hashes among the subsets that either document has terms in.
+
+The next document, in order of id, is found by range: rows go to ranges of consecutive
+ids, cut at quantiles, the first rows of a range also to the one before, so a text is
+shuffled once. Beyond RANGES * RANGE_ROWS rows the ranges grow; each is sorted on disk.
 
 Edge cases: null text is taken as empty and has no terms: all its hashes are ``-``;
 documents with no term in the band use all their terms; rows with a null id come first;
@@ -24,12 +27,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hashed cells of document frequency.
-CELLS = 1 << 18
+#: Bits of the filter that the lexicon is handed on as.
+CELLS = 1 << 20
 #: Band of inverse document frequency.
 BAND = (0.7, 5.0)
-#: Density of each lexicon subset, in 64ths.
-DENSITY = tuple(d for d in (32, 16, 8, 4, 2, 1) for _ in range(4))
+#: Halvings of each lexicon subset: bits of a term's hash that are zero if the term is in it.
+HALVINGS = tuple(k for k in (1, 2, 3, 4, 5, 6) for _ in range(4))
+#: Seeds of the two hashes that the bits are taken from, by turns.
+SALTS = (11, 12)
 #: Documents of an id range, about, and the most ranges there are (their first ids are literals).
 RANGE_ROWS, RANGES = 2000, 10_000
 _SPLIT = r"[^\p{L}\p{N}]+"
@@ -44,11 +49,11 @@ def _cell(h: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str, band: tuple[float, float] = BAND) -> list[int]:
-    """Bitmap of the cells in the band: CELLS / 64 longs."""
+    """Bitmap of the cells that hold a term of the band: CELLS / 64 longs."""
     total = docs.count()
-    cells = docs.select(F.explode(F.array_distinct(F.transform(_hashes(F.col(text_col)), _cell))).alias("cell"))
+    terms = docs.select(F.explode(F.array_distinct(_hashes(F.col(text_col)))).alias("term"))
     idf = F.log(F.lit(float(max(total, 1))) / F.col("n"))
-    kept = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(idf.between(*band))
+    kept = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(idf.between(*band)).select(_cell(F.col("term")).alias("cell"))
     at = F.shiftright("cell", 6).cast("int")
     bit = F.expr("shiftleft(1L, cast(cell & 63 AS INT))")
     bitmap = [0] * (CELLS // 64)
@@ -57,20 +62,32 @@ def lexicon(docs: DataFrame, text_col: str, band: tuple[float, float] = BAND) ->
     return bitmap
 
 
+def _masks() -> list[tuple[str, int]]:
+    """(hash, mask) of each subset: no two subsets share a bit."""
+    free, out = [0] * len(SALTS), []
+    for r, k in enumerate(HALVINGS):
+        which = r % len(SALTS)
+        out.append((f"h{which}", ((1 << k) - 1) << free[which]))
+        free[which] += k
+    return out
+
+
 def fingerprint(text: Column, bitmap: list[int]) -> Column:
     """Array of one hash (8 hexadecimal digits) for each lexicon subset, ``-`` for none."""
-    bits = F.expr(f"array({', '.join(f'{x}L' for x in bitmap)})")
+    # one string, which is folded to an array once; as many literals would be a large plan
+    bits = F.from_json(F.lit(f"[{','.join(map(str, bitmap))}]"), "array<bigint>")
     all_ = F.array_distinct(_hashes(text))
     inside = lambda h: F.getbit(F.element_at(bits, F.shiftright(_cell(h), 6).cast("int") + 1), _cell(h).bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
-    banded = F.filter(all_, inside)
-    terms = F.array_sort(F.when(F.size(banded) > 0, banded).otherwise(all_))
+    both = F.struct(F.filter(all_, inside).alias("banded"), all_.alias("all"))
+    hashed = lambda x: F.struct(x.alias("t"), *[F.xxhash64(x, F.lit(s)).alias(f"h{i}") for i, s in enumerate(SALTS)])
 
-    def one(salted: Column, r: int, density: int) -> Column:
-        some = F.filter(salted, lambda x: F.pmod(F.xxhash64(x, F.lit(r)), F.lit(64)) < density)
+    def one(terms: Column, name: str, mask: int) -> Column:
+        some = F.transform(F.filter(terms, lambda x: x[name].bitwiseAND(F.lit(mask).cast("long")) == 0), lambda x: x["t"])
         return F.when(F.size(some) > 0, F.right(F.lpad(F.hex(F.xxhash64(some)), 16, "0"), F.lit(8))).otherwise(F.lit("-"))
 
-    # one evaluation of the terms serves all subsets
-    return F.transform(F.array(terms), lambda t: F.array(*[one(t, r, d) for r, d in enumerate(DENSITY)]))[0]
+    # arrays of one element: what is inside is made once, and serves all that reads it
+    terms = F.transform(F.array(both), lambda b: F.array_sort(F.when(F.size(b["banded"]) > 0, b["banded"]).otherwise(b["all"])))
+    return F.transform(F.transform(terms, lambda t: F.transform(t, hashed)), lambda t: F.array(*[one(t, n, m) for n, m in _masks()]))[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -83,11 +100,15 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_next(rows: DataFrame, key: str, tie: str, columns: list[str]) -> DataFrame:
     """Add ``next_<column>`` of the row that follows in the order of key and tie (after the last: the first)."""
-    lo, hi, n = rows.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
+    lo, n = rows.agg(F.min(key), F.count(F.lit(1))).first()
+    lo = 0 if lo is None else lo
     ranges = max(1, min(RANGES, math.ceil(n / RANGE_ROWS)))
-    # rows without a key come first; doubles hold any spread of ids well enough to cut ranges
-    at = F.coalesce(F.least(F.floor((F.col(key).cast("double") - F.lit(float(lo))) / F.lit(float(hi) - float(lo) + 1.0) * ranges), F.lit(ranges - 1)), F.lit(0)).cast("int")
+    cuts = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
+    found = rows.agg(F.expr(f"approx_percentile({key}, array({cuts}), {20 * ranges})")).first()[0] if cuts else None
+    bounds = F.array(*[F.lit(x) for x in sorted(set(found or []))]).cast("array<bigint>")  # RANGES at most
+    # rows without a key come first; those of one key are in one range
+    at = F.coalesce(F.size(F.filter(bounds, lambda x: x <= F.col(key))), F.lit(0))
+    at = F.when(F.col(key).isNull(), F.lit(0)).otherwise(at)
     ranged = rows.withColumn("_at", at).withColumn("_key", F.coalesce(F.col(key), F.lit(lo) - 1))
     firsts = {r["_at"]: r["k"] for r in ranged.groupBy("_at").agg(F.min("_key").alias("k")).collect()}  # RANGES rows at most
     known = sorted(firsts)
