@@ -9,12 +9,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch that may hold texts. Spark bounds batches at 64 MB by itself, but keeps several copies.
+BATCH_ROWS = 400
 #: Bytes of text that one vectorised step handles.
 CHUNK_BYTES = 1 << 20
 
@@ -39,11 +42,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows while something runs; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
+def written(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with batch_rows(spark, rows):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -102,6 +118,13 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Itera
         yield pa.concat_batches(held)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """The same rows a few at a time, for steps that make objects or copies of all they are given."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 class Memo:
     """What ``learn`` gives for keys, kept in two generations of at most ``most`` bytes each.
 

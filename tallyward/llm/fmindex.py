@@ -13,6 +13,8 @@ import numpy as np
 
 #: Sorted depth of the suffixes: a power of two.
 DEPTH = 64
+#: Places of a grid of lanes that are searched together.
+CELLS = 1 << 20
 
 
 class BitVector:
@@ -140,14 +142,26 @@ class FmIndex:
     def matching_statistics(self, lanes: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each place of each lane: the longest match that begins there (at most `longest`
         words) and, where that is reached, the smallest owner of such a place (else -1)."""
-        order = sorted(range(len(lanes)), key=lambda i: -len(lanes[i]))
-        sizes = np.array([len(lanes[i]) for i in order], np.int64)
+        stats: list[np.ndarray] = [np.zeros(0, np.int16)] * len(lanes)
+        owners: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lanes)
+        by_length = sorted(range(len(lanes)), key=lambda i: -len(lanes[i]))
+        # a grid is as long as its longest lane: long ones go in few lanes at a time
+        while by_length:
+            some = max(1, CELLS // max(1, len(lanes[by_length[0]])))
+            self._statistics(lanes, by_length[:some], stats, owners)
+            by_length = by_length[some:]
+        return stats, owners
+
+    def _statistics(self, every: list[np.ndarray], order: list[int], stats: list[np.ndarray], owners: list[np.ndarray]) -> None:
+        """The same for some lanes, the longest first."""
+        lanes = [every[i] for i in order]
+        sizes = np.array([len(x) for x in lanes], np.int64)
         most = int(sizes.max(initial=0))
         # by distance from the end: step t holds the lanes that are longer than t, which come first
         live = np.searchsorted(-sizes, -np.arange(most), "left")
         grid = np.zeros((most, len(lanes)), np.int64)
-        for j, i in enumerate(order):
-            grid[: len(lanes[i]), j] = lanes[i][::-1]
+        for j, x in enumerate(lanes):
+            grid[: len(x), j] = x[::-1]
         stat, least = np.zeros((most, len(lanes)), np.int16), np.full((most, len(lanes)), -1, np.int64)
         l, r, m = np.zeros(len(lanes), np.int64), np.full(len(lanes), self.n + 1, np.int64), np.zeros(len(lanes), np.int64)  # noqa: E741
         for t in range(most):
@@ -177,9 +191,7 @@ class FmIndex:
             least[t, full] = self.least[at]
             l[full], r[full] = self.low[at], self.high[at]
             stat[t, :k] = m[:k]
-        stats: list[np.ndarray] = [np.zeros(0, np.int16)] * len(lanes)
-        owners: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lanes)
         for j, i in enumerate(order):
-            stats[i] = stat[: sizes[j], j][::-1]
-            owners[i] = least[: sizes[j], j][::-1]
-        return stats, owners
+            # copies, so that the grid can go
+            stats[i] = stat[: sizes[j], j][::-1].copy()
+            owners[i] = least[: sizes[j], j][::-1].copy()

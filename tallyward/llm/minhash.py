@@ -302,7 +302,7 @@ def groups(own: DataFrame, window: int = WINDOW, partners: int = PARTNERS, block
     sets = written(_sets(own), "sets")
     distinct = sets.where("cls is not null").groupBy("cls", "sig").agg(F.min("doc_id").alias("doc_id"))
     classes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "classes")
-    pairs = written(candidates(classes.where("doc_id is not null"), window, partners), "pairs")
+    pairs = written(candidates(classes.where("doc_id is not null"), window, partners), "pairs", 5000)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = _bodies(own, ends.join(classes.select("node", "cls", "doc_id"), "node"))
     ta, tb = (texts.select(F.col("node").alias(x), F.col("body").alias(f"t{x}")) for x in "ab")
@@ -314,7 +314,7 @@ def groups(own: DataFrame, window: int = WINDOW, partners: int = PARTNERS, block
     buckets = written(regions(labelled.select("node", "label", "sig"), block), "regions")
     signed = buckets.join(labelled.select("node", "sig"), "node")
     dealt = signed.repartition("bucket").sortWithinPartitions("bucket", "node")
-    left = written(dealt.mapInArrow(_open, "bucket long, node long"), "left")
+    left = written(dealt.mapInArrow(_open, "bucket long, node long"), "left", 5000)
     if not left.isEmpty():
         more = written(left.select("node").distinct().join(labelled.select("node", "cls", "doc_id"), "node"), "more")
         bodies = _bodies(own, more)

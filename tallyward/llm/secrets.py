@@ -62,7 +62,7 @@ def _live(value: Column) -> Column:
 
 def row_key(id_col: str, text_col: str) -> Column:
     """128 bits of a row's id and text: rows that agree on them have the same spans."""
-    return F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col(text_col)))
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col(text_col))))
 
 
 def matches(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
@@ -76,7 +76,7 @@ def matches(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_co
     end = F.sum(F.col("gap") + F.col("size")).over(w)
     placed = found.withColumn("end", end.cast("int")).withColumn("start", (F.col("end") - F.col("size")).cast("int"))
     good = placed.where(F.length("value") >= least)
-    return good.select("row", "repo", "owner", "kind", "start", "end", F.md5("value").alias("hash"), _live(F.col("value")).alias("live")).where((F.col("kind") < len(BASE)) | F.col("live"))
+    return good.select("row", "repo", "owner", "kind", "start", "end", F.unhex(F.md5("value")).alias("hash"), _live(F.col("value")).alias("live")).where((F.col("kind") < len(BASE)) | F.col("live"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -89,7 +89,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner
     """One row for each row hash that has spans: sorted base spans, added spans, and counts."""
     found = written(matches(docs, id_col, text_col, owner_col, repo_col), "matches")
     once = found.dropDuplicates(["row", "kind", "start", "end"])  # repeated rows have the same spans
-    judged = once.join(ownership(found), "hash")
+    # as merges at every size: neither side has a bound
+    judged = once.join(ownership(found).hint("merge"), "hash")
     span = F.struct("start", "kind", "end")
     base = F.col("kind") < len(BASE)
     copied = (F.col("owners") >= COPIED) | (F.col("repos") >= SPREAD)
@@ -114,7 +115,7 @@ def listed(array: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """One row for every document: counts, digest of the base spans, all spans."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"))
-    out = rows.join(spans(docs, id_col, text_col, owner_col, repo_col), "row", "left")
+    out = rows.join(spans(docs, id_col, text_col, owner_col, repo_col).hint("merge"), "row", "left")
     zero = F.lit(0).cast("long")
     return out.select(
         "doc_id", *[F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in BASE],
@@ -127,7 +128,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """The documents, with every span replaced by ``MASK``."""
     found = spans(docs, id_col, text_col, owner_col, repo_col).select(F.col("row").alias("_row"), F.col("all").alias("_all"))
-    joined = docs.withColumn("_row", row_key(id_col, text_col)).join(found, "_row", "left")
+    joined = docs.withColumn("_row", row_key(id_col, text_col)).join(found.hint("merge"), "_row", "left")
     text = F.col(text_col)
     begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 

@@ -185,7 +185,7 @@ def test_documents_by_sql(spark, sf):
 @pytest.mark.parametrize(("hot", "shard"), [(16384, 300_000), (2, 300_000), (16384, 200)])
 def test_substring(spark, hot, shard):
     texts = passages(3)
-    got = rows(substring.substring_dedup(docs(spark, texts), digest=True, hot=hot, shard_words=shard))
+    got = rows(substring.substring_dedup(docs(spark, texts), digest=True, split=hot, shard_words=shard))
     assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == brute_substring(dict(enumerate(texts)))
 
 
