@@ -116,6 +116,8 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Itera
             held, size = [], 0
     if held:
         yield pa.concat_batches(held)
+    # workers live on, and Arrow keeps what it had
+    pa.default_memory_pool().release_unused()
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
@@ -123,6 +125,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, len(b), rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 class Memo:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, chunks, mix, runs, spans, words, written
+from .common import U64, as_bytes, chunks, mix, runs, slices, spans, words, written
 from .components import connected
 
 #: Words of a shingle; minima of a signature; orders of the forest; places of a sorted key; places that a region agrees on.
@@ -105,7 +105,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_shingles", "cls", "sig", *(f.name for f in others)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             offsets, data = spans(as_bytes(b.column("text")))
             for lo, hi in chunks(offsets):
                 sets = shingle_sets(offsets[lo : hi + 1], data)
@@ -259,7 +259,7 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[int, np.ndarray] = {}
-    for batch in batches:
+    for batch in slices(batches):
         keep = []
         for x, y, tx, ty in zip(*(batch.column(i) for i in range(4)), strict=True):
             both = []
@@ -278,7 +278,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, body) of the classes' first documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             column = as_bytes(b.column("text"))
             offsets, data = spans(column)
             want, keep = b.column("cls").to_pylist(), []

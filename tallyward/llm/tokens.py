@@ -24,7 +24,7 @@ from .common import Memo, as_bytes, chunks, gathered, spans
 from .merges import Merges
 
 #: Bytes of text whose chunks are numbered together.
-GROUP = 8 << 20
+GROUP = 4 << 20
 #: One piece without a change by normalising; longer ones are few and take many steps.
 PLAIN = "^[a-zß-öø-ÿ]{1,32}$"
 #: A full stop or comma right after an ASCII letter or digit, and last in its chunk, is a piece of its own.
@@ -55,7 +55,7 @@ class ChunkTokenizer:
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.merges = _merges(path)
-        self.memo = Memo(self._learn, 32 << 20)
+        self.memo = Memo(self._learn, 16 << 20)
 
     def _learn(self, missing: list[str]) -> list[bytes]:
         ids = [x.ids for x in self.model.encode_batch_fast(missing, add_special_tokens=False)]
