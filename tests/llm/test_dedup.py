@@ -228,3 +228,17 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r["node"]: r["label"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_components_end_at_stars(spark, monkeypatch):
+    # no round, and no table, only to see that nothing changes
+    tables = []
+    def noted(df, name, own=components.written):
+        tables.append(name)
+        return own(df, name)
+    monkeypatch.setattr(components, "written", noted)
+    for edges, rounds in (([], 0), ([(0, i) for i in range(1, 9)] + [(12, 11)], 0), ([(1, 0), (2, 1)], 1), ([(2, 0), (2, 1)], 1)):
+        tables.clear()
+        got = {r["node"]: r["label"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {n: (0 if n < 11 else 11) for e in edges for n in e}
+        assert tables == ["edges"] + ["stars"] * rounds
