@@ -64,7 +64,7 @@ def word_count(c: Column) -> Column:
 
 def word_set(c: Column) -> Column:
     """Distinct words of more than two characters, as near-duplicate rules compare them."""
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), f"[^a-z0-9{SPACE}]", " "), f"[{SPACE}]+"), lambda w: F.length(w) > 2))
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
 
 
 def slug(rule_id: str) -> str:
