@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.jsontext import JsonRefused, compact, decode, read
 
 ITEMS = 100_000
+#: Rows that a pass in Python hands on at once.
+ROWS = 1000
 LISTS = {"tools": "tools/list", "prompts": "prompts/list", "resources": "resources/list", "resourceTemplates": "resources/templates/list"}
 KIND = {"tools": "tool", "prompts": "prompt", "resources": "resource", "resourceTemplates": "resource"}
 
@@ -64,12 +67,12 @@ def _bad_argument(a: Any) -> bool:
     return not isinstance(a, dict) or not isinstance(a.get("name"), str) or ("description" in a and not isinstance(a["description"], str)) or ("required" in a and not isinstance(a["required"], bool))
 
 
-def entries_of(key: str, values: list, base: dict, start: int = 0) -> Iterator[dict]:
+def entries_of(key: str, values: list, base: dict, start: int = 0, most: int = ITEMS) -> Iterator[dict]:
     """Rows of one list: the definitions, the items, and its coverage row; numbers count from ``start``."""
     scope, kind = LISTS[key], KIND[key]
     row = base | {"scope": scope}
     malformed, first, unnamed, issues, retained = 0, -1, 0, [], 0
-    for i, raw in enumerate(values[:ITEMS], start):
+    for i, raw in enumerate(values[:most], start):
         yield row | {"what": "definition", "ord": i, "raw": compact(raw)}
         if not isinstance(raw, dict):
             malformed, first = malformed + 1, i if first < 0 else first
@@ -104,8 +107,8 @@ def entries_of(key: str, values: list, base: dict, start: int = 0) -> Iterator[d
         detail.append(f"{malformed} malformed entries in {key}, the first at {first}.")
         detail += [f"{unnamed} without the identity that this list needs."] if unnamed else []
         detail += [f"Annotations: {'; '.join(issues)}."] if issues else []
-    if len(values) > ITEMS:
-        detail.append(f"Stopped after {ITEMS} entries.")
+    if len(values) > most:
+        detail.append(f"Stopped after {most} entries.")
     status = "incomplete" if detail else "complete"
     yield row | {"what": "coverage", "status": status, "pages": 1, "received": len(values), "retained": retained, "detail": " ".join(detail) or None}
 
@@ -118,8 +121,8 @@ def list_result_issue(page: dict) -> str | None:
     return "The result asks for input." if kind == "input_required" else "The result type is not known."
 
 
-def entries(data: bytes | str, target_id: str, server_id: str) -> Iterator[dict]:
-    """All rows of one saved catalog."""
+def entries(data: bytes | str, target_id: str, server_id: str, start: int = 0) -> Iterator[dict]:
+    """All rows of one saved catalog, or of a part of one whose lists go on from entry ``start``."""
     base = {"target_id": target_id, "server_id": server_id}
     file = base | {"what": "coverage", "scope": "file"} | gap("incomplete")
     try:
@@ -137,7 +140,7 @@ def entries(data: bytes | str, target_id: str, server_id: str) -> Iterator[dict]
     yield base | {"what": "server", "instructions": instructions if isinstance(instructions, str) else None}
     for key, scope in LISTS.items():
         if key in catalog and isinstance(catalog[key], list):
-            yield from entries_of(key, catalog[key], base)
+            yield from entries_of(key, catalog[key], base, start)
         elif key in catalog:
             yield base | {"what": "coverage", "scope": scope} | gap("incomplete", f"{key} is no list.", 1)
     issues = [x for x in [list_result_issue(catalog)] if x]
@@ -146,20 +149,53 @@ def entries(data: bytes | str, target_id: str, server_id: str) -> Iterator[dict]
     yield file | {"status": "incomplete" if issues else "complete", "detail": " ".join(issues) or "Only the saved catalog was read."}
 
 
+def _frames(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
+    """Rows as tables of ROWS at most, whatever the size of a catalog."""
+    whole = ("ord", "pages", "received", "retained")
+    while some := list(islice(rows, ROWS)):
+        out = pd.DataFrame.from_records(some, columns=_COLUMNS)
+        for c in whole:
+            out[c] = out[c].astype("Int64")
+        yield out.astype({c: object for c in _COLUMNS if c not in whole}).where(lambda d: d.notna(), None)
+
+
 def parse(files: DataFrame) -> DataFrame:
     """Entries of files (target_id, server_id, content), content binary or string."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for data, target, server in zip(b["content"], b["target_id"], b["server_id"], strict=True):
-                rows = pd.DataFrame.from_records(list(entries(data, target, server)), columns=_COLUMNS)
-                for c in ("ord", "pages", "received", "retained"):
-                    rows[c] = rows[c].astype("Int64")
-                yield rows.astype({c: object for c in _COLUMNS if c not in ("ord", "pages", "received", "retained")}).where(lambda d: d.notna(), None)
+                yield from _frames(entries(data, target, server))
 
     return files.select("content", "target_id", "server_id").mapInPandas(run, SCHEMA)
 
 
+def parse_parts(parts: DataFrame) -> DataFrame:
+    """Entries of catalogs that come in parts (target_id, server_id, start, content), to be stored and put :func:`together`.
+
+    Each part is a catalog of its own, whose lists go on from entry ``start``. A part is
+    bounded, so a catalog need not be. ITEMS holds for a part.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for data, target, server, start in zip(b["content"], b["target_id"], b["server_id"], b["start"], strict=True):
+                yield from _frames(entries(data, target, server, int(start)))
+
+    return parts.select("content", "target_id", "server_id", "start").mapInPandas(run, SCHEMA)
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """Stored entries of parts in the shape that :func:`parse` gives, with one coverage row for each list."""
+    rest = rows.where("what NOT IN ('coverage', 'server')")
+    by = ["target_id", "server_id", "scope"]
+    notes = F.concat_ws(" ", F.array_sort(F.collect_set("detail")))
+    lists = rows.where("what = 'coverage'").groupBy(*by).agg(F.max("status").alias("status"), F.max("pages").alias("pages"), F.sum("received").alias("received"), F.sum("retained").alias("retained"), notes.alias("detail"))
+    lists = lists.withColumn("what", F.lit("coverage")).withColumn("detail", F.when(F.col("detail") != "", F.col("detail")))
+    servers = rows.where("what = 'server'").groupBy("target_id", "server_id").agg(F.max("instructions").alias("instructions")).withColumn("what", F.lit("server"))
+    return rest.unionByName(lists, True).unionByName(servers, True).select(*_COLUMNS)
+
+
 def tables(parsed: DataFrame) -> Tables:
     """Split entries into tables; ``parsed`` should be stored or cached, as every table reads it."""
 

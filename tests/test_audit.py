@@ -213,3 +213,16 @@ def test_similar_sets_send_few_words(spark):
     finally:
         similarity.PIECE, similarity.BLOCK = piece, block
     assert "array_intersect" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_catalog_in_parts(spark):
+    """Parts of a catalog give the rows of the whole, and no table handed on grows with it."""
+    from tallyward.sources import catalog
+
+    tools = [tool(f"tool_number_{i}") for i in range(2500)]
+    assert max(len(f) for f in catalog._frames(catalog.entries(json.dumps({"tools": tools}), "t", "s"))) <= catalog.ROWS
+    rows = [("t", "s", i, json.dumps({"tools": tools[i : i + 1000]})) for i in range(0, 2500, 1000)]
+    got = tables(catalog.together(durable(catalog.parse_parts(spark.createDataFrame(rows, "target_id string, server_id string, start long, content string")))))
+    assert [(r["ord"], r["name"]) for r in got.tools.orderBy("ord").collect()] == [(i, f"tool_number_{i}") for i in range(2500)]
+    assert got.servers.count() == 1
+    assert {(r["scope"], r["status"], r["received"], r["retained"]) for r in got.collection.collect()} == {("tools/list", "complete", 2500, 2500), ("file", "complete", 0, 0)}
